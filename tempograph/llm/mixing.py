@@ -15,6 +15,7 @@ from tempograph.llm.common import sample_labelled, written
 from tempograph.llm.features import META, STATS
 from tempograph.llm.packing import token_estimate
 from tempograph.llm.textkernel import chunks
+from tempograph.llm.textkernel import mix as mix64
 
 #: Domain of a label row: good and clean, good but toxic, low quality.
 DOMAINS = ["clean", "toxic", "low"]
@@ -141,6 +142,13 @@ def fit_rates(members: DataFrame, targets: dict[str, float], iterations: int = 4
     return history
 
 
+def copies(rate: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Rates rounded by a fixed uniform number of each id (one half for a null id)."""
+    h = mix64(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 21)
+    u = np.where(np.asarray(ids.is_null()), 0.5, (h >> np.uint64(11)).astype(float) / float(1 << 53))
+    return np.floor(rate + u).astype(np.int64)
+
+
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = 6000) -> DataFrame:
     """Soft-membership mixing: (doc_id, n_tokens, p_clean, p_toxic, p_low, rate, copies) of every row of docs.
 
@@ -159,8 +167,24 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), *[pa.array(p[:, i]) for i in range(k)], pa.array(_rates(len(p), p, history))], ["doc_id", "n_tokens", *[f"p_{x}" for x in DOMAINS], "rate"])
+            rate = _rates(len(p), p, history)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), *[pa.array(p[:, i]) for i in range(k)], pa.array(rate), pa.array(copies(rate, b.column("doc_id")))], ["doc_id", "n_tokens", *[f"p_{x}" for x in DOMAINS], "rate", "copies"])
+
+    return members.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{x} double" for x in DOMAINS) + ", rate double, copies long")
+
+
+def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = 6000) -> DataFrame:
+    """docs with each row repeated ``copies`` times (see mix): rows at 0 go, all columns stay; no shuffle of texts."""
+    model = train(spark, docs, labels, max_labelled)
+    history = fit_rates(written(posteriors(docs, model), "members"), targets or TARGETS)
+    shared, names = spark.sparkContext.broadcast(model), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in chunks(batches):
+            doc, feature, value, stats = quality.example(b)
+            p = m.of(b.num_rows, *quality.with_stats(doc, feature, value, stats, m.mean, m.scale))
+            n = copies(_rates(b.num_rows, p, history), b.column("doc_id").cast(pa.int64()))
+            yield b.select(names).take(pa.array(np.repeat(np.arange(b.num_rows), n)))
 
-    out = members.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{x} double" for x in DOMAINS) + ", rate double")
-    uniform = F.coalesce(F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30), F.lit(0.5))
-    return out.withColumn("copies", F.floor(F.col("rate") + F.when(F.col("doc_id").isNull(), 0.5).otherwise(uniform)))
+    return docs.mapInArrow(run, docs.schema)
