@@ -15,8 +15,8 @@ from tempograph.llm.textkernel import mix
 
 THRESHOLD = 0.95
 TABLES = 8
-SCALE = 6.0
-PROBES = 12
+SCALE = 4.0
+PROBES = 16
 
 
 def decode_d8(x: np.ndarray) -> np.ndarray:
