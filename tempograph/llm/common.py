@@ -43,10 +43,18 @@ def sized(ids: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the ids of dropped; rows whose id is null stay."""
-    gone = dropped.select(F.col(key).alias("__gone"))
-    return docs.join(sized(gone), docs[key] == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    return docs.join(sized(dropped.select(F.col(key).alias(name))), F.col(key) == F.col(name), "left_anti")
 
 
 def id_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -151,8 +159,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def sample_labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, label_cols: list[str], most: int) -> DataFrame:
-    """Labelled documents: at most ``most`` of them, those whose id hashes least; no null labels, one row an id."""
+    """Labelled documents (doc_id, text, lang, source, __id, __label...): at most ``most`` of them, those whose id hashes least; no null labels, one row an id."""
     lab = labels.where(" and ".join(f"`{c}` is not null" for c in ["doc_id", *label_cols]))
     lab = lab.groupBy("doc_id").agg(*[F.min(c).alias(f"__{c}") for c in label_cols]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     lab = lab.withColumnRenamed("doc_id", "__id")
+    docs = docs.select("doc_id", "text", "lang", "source")
     return docs.join(F.broadcast(lab), F.col("doc_id") == F.col("__id"))

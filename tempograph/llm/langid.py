@@ -77,6 +77,7 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = 400, min_sha
     A gram enters a language's filter if it makes at least ``min_share`` of the grams of its sample, so
     that stray words and names of others stay out.
     """
+    docs = docs.select("doc_id", "text", "lang")
     d = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", F.col("lang").alias("l"))
     rank = F.row_number().over(W.partitionBy("l").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = d.withColumn("r", rank).where(F.col("r") <= per_language).select(F.col("doc_id").alias("__id"), "l").distinct()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import components, drop_ids, numbers, pairs_in_runs, table_of, tasks, written
+from tempograph.llm.common import components, drop_ids, fresh, numbers, pairs_in_runs, table_of, tasks, written
 from tempograph.llm.textkernel import Words, chunks, simhash, weight_of
 
 TABLES = 4  # independent fingerprints of 32 bits
@@ -160,5 +160,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if not again.head(1):
         return rest
-    one = rest.join(again.withColumnRenamed("doc_id", "__again"), F.col("doc_id") == F.col("__again"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in names if c != "doc_id"])).alias("__row"))
-    return drop_ids(rest, again).unionByName(one.select("doc_id", "__row.*").select(*names))
+    name, row = fresh(docs, "__again"), fresh(docs, "__row")
+    # of the rows of an id, the one whose JSON is least stays
+    one = rest.join(again.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))).alias(row))
+    return drop_ids(rest, again).unionByName(one.select(F.col(row + ".*")).select(*[F.col(f"`{c}`") for c in names]))

@@ -77,7 +77,8 @@ def _collect(sample: DataFrame, label: str) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def train(sample: DataFrame, label: str = "__quality", epochs: int = 6, batch: int = 128, seed: int = 7, keep_good: float = 0.995) -> Machine:
-    """Fit on the sample (Adam, logistic loss); a fifth is held out, and the cut rejects at most 1 - keep_good of its good documents."""
+    """Fit on the sample (Adam, logistic loss); a fifth is held out, and the cut, between 0.1 and 0.5, rejects
+    at most 1 - keep_good of its good documents, unless they score under 0.1."""
     doc, feature, value, stats, y = _collect(sample, label)
     n = len(y)
     size = BUCKETS + STATS + META
@@ -98,7 +99,8 @@ def train(sample: DataFrame, label: str = "__quality", epochs: int = 6, batch: i
     p = np.concatenate([m.w[:, None], m.v], axis=1)
     m1, m2, t = np.zeros_like(p), np.zeros_like(p), 0
     b1 = b2 = 0.0
-    for _ in range(epochs):
+    # small samples are gone over more often: 400 steps at least
+    for _ in range(max(epochs, -(-400 * batch // len(ids)))):
         rng.shuffle(ids)
         for k in range(0, len(ids), batch):
             own = ids[k : k + batch]
@@ -126,7 +128,7 @@ def train(sample: DataFrame, label: str = "__quality", epochs: int = 6, batch: i
     m.w, m.v = p[:, 0].copy(), p[:, 1:].copy()
     z = 1 / (1 + np.exp(-np.clip(m.score(n, doc, feature, value), -30, 30)))
     ok = np.sort(z[held & (y > 0)])
-    m.cut = float(min(0.5, ok[int((1 - keep_good) * len(ok))])) if len(ok) else 0.0
+    m.cut = float(np.clip(ok[int((1 - keep_good) * len(ok))], 0.1, 0.5)) if len(ok) else 0.0
     return m
 
 
