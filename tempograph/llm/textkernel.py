@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 _FOLD = np.arange(256, dtype=np.uint8)
