@@ -9,6 +9,7 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -135,12 +136,12 @@ def parse_iso(text: str | None) -> datetime | None:
     return d.astimezone(UTC).replace(tzinfo=None) if d.tzinfo else d
 
 
-@F.pandas_udf("timestamp_ntz")
+@F.pandas_udf(T.TimestampNTZType())
 def iso_timestamp(s: pd.Series) -> pd.Series:
     return pd.Series([parse_iso(x) for x in s], dtype="datetime64[us]")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def json_keys(s: pd.Series) -> pd.Series:
     """Keys of a JSON text to depth 2; 0 if it isn't JSON."""
 
