@@ -543,7 +543,7 @@ def d11_empty_bulk(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT uuid, least(uuid, b) AS canonical FROM (SELECT uuid, CASE WHEN _seq % 2 = 0 THEN 'c' || lpad(CAST(_seq + 1 AS VARCHAR), 9, '0') ELSE 'c' || lpad(CAST(_seq - 1 AS VARCHAR), 9, '0') END AS b FROM ent WHERE l = 'Customer')", ENT)
 def d13_components(s: SparkSession, d: str) -> DataFrame:
     c = src.entities(s, d).where("labels[1] = 'Customer' and _seq % 2 = 0").select(F.col("uuid").alias("a"), F.concat(F.lit("c"), F.lpad((F.col("_seq") + 1).cast("string"), 9, "0")).alias("b"))
-    return resolve.least_union(c, lambda df: df.cache())
+    return resolve.least_union(c, src.written)
 
 
 @query("SELECT uuid, 'n' || lpad(CAST(c_nationkey AS VARCHAR), 9, '0') AS source_node_uuid, t AS target_node_uuid FROM fct JOIN customer ON s = 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')", FCT)

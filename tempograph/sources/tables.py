@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +14,18 @@ from tempograph.plans.schema import SCHEMAS
 Tables = dict[str, DataFrame]
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder (spark.checkpoint.dir; a temporary one only where none is set), read again: lineage is cut."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="tempograph-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def empty(spark: SparkSession) -> Tables:
     return {k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()}
 

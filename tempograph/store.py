@@ -52,14 +52,14 @@ class Namespace:
 
     def save(self, rows: DataFrame) -> None:
         f = writes.save_edges if self.kind in EDGES else writes.save_nodes
-        self.store.tables = f(self.store.tables, self.kind, rows)
+        self.store.commit(f(self.store.tables, self.kind, rows))
 
     def delete(self, uuids: list[str]) -> None:
         ids = self.store.spark.createDataFrame([(u,) for u in uuids], "uuid string")
-        self.store.tables = writes.delete_edges(self.store.tables, ids, [self.kind]) if self.kind in EDGES else writes.delete_nodes(self.store.tables, self.kind, ids)
+        self.store.commit(writes.delete_edges(self.store.tables, ids, [self.kind]) if self.kind in EDGES else writes.delete_nodes(self.store.tables, self.kind, ids))
 
     def delete_group(self, group: str) -> None:
-        self.store.tables = writes.delete_group(self.store.tables, self.kind, group)
+        self.store.commit(writes.delete_group(self.store.tables, self.kind, group))
 
 
 @dataclass
@@ -68,19 +68,23 @@ class GraphStore:
 
     ``extract`` turns episode contents into the JSON that operators.ingest parses (a DataFrame of
     (episode_uuid, group_id, content) to (episode_uuid, group_id, response)); without one, ingest stores episodes alone.
-    ``written`` cuts the lineage of tables (writes them to shared storage and reads them again).
+    ``written`` cuts the lineage of the tables that a write has changed (a table in the shared folder, by default).
     """
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
     extract: Callable[[DataFrame], DataFrame] | None = None
-    written: Callable[[DataFrame], DataFrame] = lambda df: df
+    written: Callable[[DataFrame], DataFrame] = src.written
     dim: int = 1024
     store_raw_content: bool = True
 
     def __post_init__(self) -> None:
         self.tables = src.empty(self.spark) | self.tables
 
+    def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Take new tables, writing those that changed."""
+        self.tables = {k: t if t is self.tables.get(k) else self.written(t) for k, t in tables.items()}
+
     def __getattr__(self, kind: str) -> Namespace:
         if kind in SCHEMAS:
             return Namespace(self, kind)
@@ -94,13 +98,13 @@ class GraphStore:
         src.store(self.tables, path)
 
     def clear(self, groups: list[str] | None = None) -> None:
-        self.tables = writes.clear(self.tables, groups)
+        self.commit(writes.clear(self.tables, groups))
 
     def save_bulk(self, rows: dict[str, DataFrame]) -> None:
         for kind, (text, vector) in {"entity": ("name", "name_embedding"), "entity_edge": ("fact", "fact_embedding")}.items():
             if kind in rows:
                 rows = rows | {kind: fill_vectors(rows[kind], text, vector, self.dim)}
-        self.tables = writes.save_bulk(self.tables, rows)
+        self.commit(writes.save_bulk(self.tables, rows))
 
     def retrieve_episodes(self, until: datetime, last: int = 3, groups: list[str] | None = None, source: str | None = None, saga: str | None = None) -> DataFrame:
         return reads.retrieve_episodes(self.tables["episodic"], until, last, check_groups(groups), source, saga, self.tables["saga"], self.tables["has_episode"])
@@ -120,7 +124,7 @@ class GraphStore:
         return plan.search(self.tables, query, config, vector, filters, groups, center, origins)
 
     def remove_episode(self, uuid: str) -> None:
-        self.tables = writes.remove_episodes(self.tables, self.spark.createDataFrame([(uuid,)], "uuid string"))
+        self.commit(writes.remove_episodes(self.tables, self.spark.createDataFrame([(uuid,)], "uuid string")))
 
     def nodes_and_facts_by_episode(self, uuids: list[str]) -> tuple[DataFrame, DataFrame]:
         e = reads.by_uuids(self.tables["episodic"], uuids)
@@ -130,11 +134,11 @@ class GraphStore:
         t = self.tables
         e = t["entity"] if not groups else t["entity"].where(F.col("group_id").isin(groups))
         old = t["community"] if not groups else t["community"].where(F.col("group_id").isin(groups))
-        self.tables = writes.delete_nodes(t, "community", old)
+        self.commit(writes.delete_nodes(t, "community", old))
         rows, members = cm.build(e, self.written(cm.label_propagation(e, t["entity_edge"])))
         now = F.lit(datetime.now(UTC).replace(tzinfo=None)).cast("timestamp_ntz")
         rows = rows.withColumn("labels", F.array(F.lit("Community"))).withColumn("created_at", now).withColumn("name_embedding", F.lit(None).cast("array<float>")).withColumn("_seq", F.monotonically_increasing_id())
-        self.community.save(self.written(fill_vectors(rows.select(*SCHEMAS["community"].names), "name", "name_embedding", self.dim)))
+        self.community.save(fill_vectors(self.written(rows.select(*SCHEMAS["community"].names)), "name", "name_embedding", self.dim))
         self.has_member.save(self.written(members.withColumn("created_at", now).withColumn("_seq", F.monotonically_increasing_id()).select(*SCHEMAS["has_member"].names)))
 
     def add_episodes(self, episodes: DataFrame, now: datetime | None = None) -> None:
@@ -175,7 +179,7 @@ class GraphStore:
         told = episodes.join(listed, "uuid", "left").withColumn("entity_edges", F.coalesce("__f", "entity_edges")).drop("__f").select(*SCHEMAS["episodic"].names)
         if not self.store_raw_content:
             told = told.withColumn("content", F.lit(""))
-        self.tables = t | {"entity_edge": self.written(old)}
+        self.commit(t | {"entity_edge": old})
         self.save_bulk({"episodic": told, "entity": fresh, "mentions": mention, "entity_edge": kept})
 
     def add_triplet(self, source: tuple[str, str], relation: str, fact: str, target: tuple[str, str], valid_at: datetime | None = None) -> None:
@@ -192,7 +196,7 @@ class GraphStore:
             self.add_episodes(self.spark.createDataFrame([(u, "triplet", source[1], ["Episodic"], at, "fact_triple", "", fact, valid_at or at, [], None, 0)], SCHEMAS["episodic"]))
         finally:
             self.extract = before
-        self.tables = self.tables | {"episodic": episodic, "mentions": self.tables["mentions"].where(F.col("source_node_uuid") != u)}
+        self.commit(self.tables | {"episodic": episodic, "mentions": self.tables["mentions"].where(F.col("source_node_uuid") != u)})
 
     def summarize_sagas(self) -> DataFrame:
         return ig.saga_summary(self.tables["saga"], self.tables["episodic"], self.tables["has_episode"])
