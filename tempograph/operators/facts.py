@@ -150,3 +150,55 @@ def entity_edges_of(episodes: DataFrame, facts: DataFrame, resolved: DataFrame,
     new = r.select(resolved["episode"].alias("uuid"), F.lit(1).alias("part"), F.col("_seq").cast("int").alias("k"), F.col("uuid").alias("f"))
     both = own.unionByName(new)
     return both.groupBy("uuid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("part", "k", "f"))), lambda x: x["f"])).alias("entity_edges"))
+
+
+def _bm25_pairs(pairs: DataFrame, limit: int) -> DataFrame:
+    """(uuid, candidate, pos) of pairs (uuid, q, candidate, t, _seq): candidates of each row by BM25 over its own candidates.
+
+    Window aggregates by (row, term) stand for a search for each row: one shuffle for all of them.
+    """
+    k1, b = 1.2, 0.75
+    x = pairs.select("uuid", "candidate", "_seq", tokens("q").alias("q"), tokens("t").alias("t"))
+    own = W.partitionBy("uuid")
+    x = x.withColumn("n", F.size("t")).withColumn("all", F.count("*").over(own)).withColumn("avg", F.avg("n").over(own))
+    x = x.select("*", F.explode(F.array_distinct("q")).alias("w"))
+    x = x.withColumn("tf", F.size(F.filter("t", lambda y: y == F.col("w")))).withColumn("df", F.sum((F.col("tf") > 0).cast("long")).over(W.partitionBy("uuid", "w"))).where("tf > 0")
+    idf = F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = x.groupBy("uuid", "candidate", "_seq").agg(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("avg")))).cast("float").alias("score"))
+    r = s.withColumn("pos", F.row_number().over(W.partitionBy("uuid").orderBy(F.desc("score"), "_seq", "candidate")) - 1)
+    return r.where(F.col("pos") < limit).select("uuid", "candidate", "pos")
+
+
+def _hybrid(pairs: DataFrame, limit: int, min_score: float = 0.6) -> DataFrame:
+    """(uuid, candidate, pos): BM25 and vector lists of twice the limit, fused by reciprocal rank, for each row."""
+    text = _bm25_pairs(pairs, 2 * limit).withColumn("k", F.lit(0))
+    v = pairs.where("qv is not null and tv is not null").select("uuid", "candidate", "_seq", cosine("qv", "tv").cast("float").alias("c")).where(F.col("c") > min_score)
+    v = v.withColumn("pos", F.row_number().over(W.partitionBy("uuid").orderBy(F.desc("c"), "_seq", "candidate")) - 1).where(F.col("pos") < 2 * limit).select("uuid", "candidate", "pos", F.lit(1).alias("k"))
+    f = text.unionByName(v).groupBy("uuid", "candidate").agg(F.sum(1.0 / (F.col("pos") + 1)).cast("float").alias("score"), F.min(F.struct("k", "pos")).alias("seen"))
+    f = f.withColumn("pos", (F.row_number().over(W.partitionBy("uuid").orderBy(F.desc("score"), "seen")) - 1).cast("int"))
+    return f.where(F.col("pos") < limit).select("uuid", "candidate", "pos")
+
+
+def _candidate_text() -> Column:
+    return F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("fact", F.lit("")), F.coalesce("group_id", F.lit("")))
+
+
+def duplicate_candidates(new: DataFrame, facts: DataFrame, limit: int = 10) -> DataFrame:
+    """(uuid, candidate, pos): for each new fact, the facts between its endpoints by hybrid search; none without any."""
+    n = new.select("uuid", "source_node_uuid", "target_node_uuid", F.col("fact").alias("q"), F.col("fact_embedding").alias("qv"))
+    c = facts.select(F.col("uuid").alias("candidate"), "source_node_uuid", "target_node_uuid", _candidate_text().alias("t"), F.col("fact_embedding").alias("tv"), "_seq")
+    return _hybrid(n.join(c, ["source_node_uuid", "target_node_uuid"]).where("uuid <> candidate"), limit)
+
+
+def invalidation_candidates(new: DataFrame, facts: DataFrame, related: DataFrame, limit: int = 10) -> DataFrame:
+    """(uuid, candidate, pos): for each new fact, facts of its group by hybrid search, without the related ones (uuid, candidate)."""
+    n = new.select("uuid", "group_id", F.col("fact").alias("q"), F.col("fact_embedding").alias("qv"))
+    c = facts.select(F.col("uuid").alias("candidate"), "group_id", _candidate_text().alias("t"), F.col("fact_embedding").alias("tv"), "_seq")
+    found = _hybrid(n.join(c, "group_id").where("uuid <> candidate"), limit)
+    return found.join(related.select("uuid", "candidate"), ["uuid", "candidate"], "left_anti")
+
+
+def has_member_edges(communities: DataFrame, members: DataFrame) -> DataFrame:
+    """has_member rows of (community, uuid) members of known communities."""
+    m = members.join(communities.select(F.col("uuid").alias("community"), "group_id", "created_at"), "community")
+    return m.select(F.sha2(F.concat_ws("|", "community", "uuid"), 256).alias("uuid"), "group_id", F.col("community").alias("source_node_uuid"), F.col("uuid").alias("target_node_uuid"), "created_at")

@@ -666,3 +666,42 @@ def l2_clean_prompt(s: SparkSession, d: str) -> DataFrame:
 def l6_hash_embeddings(s: SparkSession, d: str) -> DataFrame:
     e = vx.fill_vectors(src.entities(s, d), "name", "name_embedding", 64)
     return e.select("uuid", F.size("name_embedding").alias("dim"), F.round(vx.norm("name_embedding"), 4).alias("norm"))
+
+
+@query("SELECT 'a' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS uuid, 'n' || lpad(CAST(c_nationkey AS VARCHAR), 9, '0') AS source_node_uuid FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def d16_has_member_edges(s: SparkSession, d: str) -> DataFrame:
+    m = src.has_member(s, d).select(F.col("source_node_uuid").alias("community"), F.col("target_node_uuid").alias("uuid"))
+    return facts.has_member_edges(src.communities(s, d), m).select(F.concat(F.lit("a"), F.substring("target_node_uuid", 2, 9)).alias("uuid"), "source_node_uuid")
+
+
+@query("SELECT uuid AS source_node_uuid, entity AS target_node_uuid FROM evt", EVT)
+def d15_mentions_edges(s: SparkSession, d: str) -> DataFrame:
+    e = src.events(s, d).select(F.col("_seq").alias("pos"), "uuid")
+    i = src.mentions(s, d).groupBy(F.col("target_node_uuid").alias("uuid")).agg(F.collect_list("_seq").alias("index"))
+    return facts.mentions_edges(i.select("uuid"), i, e)
+
+
+@query("SELECT uuid, group_id FROM ent UNION ALL SELECT uuid, group_id FROM fct UNION ALL SELECT m, group_id FROM evt", ENT, FCT, EVT)
+def w3_save_bulk(s: SparkSession, d: str) -> DataFrame:
+    g = src.graph(s, d)
+    t = writes.save_bulk(src.empty(s), {k: g[k] for k in ("episodic", "entity", "mentions", "entity_edge")})
+    return reads.union_all([t[k].select("uuid", "group_id") for k in ("entity", "entity_edge", "mentions")])
+
+
+@query("SELECT a.uuid, count(*) AS n FROM fct a JOIN fct b ON a.s = b.s AND a.t = b.t AND a.uuid <> b.uuid GROUP BY a.uuid", FCT)
+def e3_duplicate_candidates(s: SparkSession, d: str) -> DataFrame:
+    f = src.facts(s, d)
+    return facts.duplicate_candidates(f, f, 100).groupBy("uuid").agg(F.count("*").alias("n"))
+
+
+@query()
+def e4_invalidation_candidates(s: SparkSession, d: str) -> DataFrame:
+    f = src.facts(s, d)
+    new = f.where("valid_at >= timestamp_ntz'2000-12-30 00:00:00'")
+    return facts.invalidation_candidates(new.where("group_id = 'BUILDING'"), f.withColumn("group_id", F.when(F.col("source_node_uuid") < "c000000010", F.col("group_id"))), facts.duplicate_candidates(new, f))
+
+
+@query("SELECT sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS key, doc_id FROM documents")
+def w11_cache_keys(s: SparkSession, d: str) -> DataFrame:
+    r = s.read.parquet(f"{d}/documents.parquet")
+    return r.select(tx.canonical_hash(F.col("doc_id"), F.col("lang")).alias("key"), "doc_id")
