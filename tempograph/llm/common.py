@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows of ids that may be broadcast; more go through a shuffled join.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that may be broadcast; more go through a shuffled join.
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +37,9 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def sized(ids: DataFrame, rows: int | None = None) -> DataFrame:
-    """ids with a broadcast hint if their counted rows are few; without one, the join is shuffled."""
-    n = ids.count() if rows is None else rows
-    return F.broadcast(ids) if n <= BROADCAST_ROWS else ids.hint("merge")
+def sized(rows: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """rows with a broadcast hint if as many as are counted, of ``row_bytes`` each, are few bytes; without one, the join is shuffled."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows.hint("merge")
 
 
 def fresh(docs: DataFrame, name: str) -> str:

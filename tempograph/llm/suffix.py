@@ -21,6 +21,7 @@ from tempograph.llm.textkernel import Words, chunks, span_hash
 
 MIN_WORDS = 50
 _BITMAP = 25
+_ROWS = 50_000
 _DEPTHS = 4  # words of a suffix by which splitters are drawn: its lead
 
 
@@ -167,6 +168,19 @@ def _repeats(words: int):  # noqa: ANN202
         t = table_of(batches)
         if t is None:
             return
+        # whole buckets at a time, of about _ROWS suffixes, so that memory doesn't follow the task
+        t = t.take(np.argsort(numbers(t, "bucket"), kind="stable"))
+        bucket = numbers(t, "bucket")
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        cuts, last = [0], 0
+        for a in starts[1:].tolist():
+            if a - last >= _ROWS:
+                cuts.append(a)
+                last = a
+        for a, b in zip(cuts, [*cuts[1:], t.num_rows], strict=True):
+            yield compare(t.slice(a, b - a).combine_chunks())
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
         doc, at, before, after = (numbers(t, c) for c in ("doc_id", "at", "before", "after"))
         m = len(doc)
         ctx = np.frombuffer(b"".join(t.column("ctx").to_pylist()), dtype="<u4").reshape(m, -1)
@@ -204,7 +218,7 @@ def _repeats(words: int):  # noqa: ANN202
         row, low = np.nonzero(step == 1)
         high = np.nonzero(step == -1)[1] - 1
         top = np.where(found, copies, 0)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(doc[row]), pa.array(at[row] - high), pa.array(at[row] - low + words), pa.array(top.max(axis=1)[row].astype(np.int64)), pa.array(np.where(found, origin, np.iinfo(np.int64).max).min(axis=1)[row])],
             ["doc_id", "b", "e", "copies", "origin"],
         )
