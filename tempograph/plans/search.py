@@ -76,12 +76,19 @@ def _vector_hits(df: DataFrame, kind: str, vector: list[float] | None, k: int, s
     return rk.knn(df.where(F.col(VECTORS[kind]).isNotNull()), VECTORS[kind], vector, k, scope.sim_min_score) if vector is not None else None
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """A ranked list of at most a few limits, as a local table: its scan runs once, however often the list is used."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def _retrieve(t: Tables, kind: str, df: DataFrame, query: str, vector: list[float] | None, scope: Scope, k: int, filters: SearchFilters | None, groups: list[str] | None, origins: list[str] | None) -> list[DataFrame]:
     lists = []
     if SearchMethod.BM25 in scope.methods:
         lists.append(rk.bm25(df, indexed_text(kind), query, k))
     if SearchMethod.COSINE in scope.methods and vector is not None:
         lists.append(_vector_hits(df, kind, vector, k, scope))
+    if SearchMethod.BFS in scope.methods or scope.reranker is not Reranker.RRF:
+        lists = [_bounded(x) for x in lists]
     if SearchMethod.BFS in scope.methods:
         spark = df.sparkSession
         if origins is not None:
@@ -91,7 +98,7 @@ def _retrieve(t: Tables, kind: str, df: DataFrame, query: str, vector: list[floa
         else:
             start = spark.createDataFrame([], "uuid string, pos int")
         walk = tr.fact_hits if kind == "entity_edge" else tr.node_hits
-        lists.append(walk(start, t["entity"], t["episodic"], t["mentions"], t["entity_edge"], scope.bfs_max_depth, k, filters, groups))
+        lists.append(_bounded(walk(_bounded(start), t["entity"], t["episodic"], t["mentions"], t["entity_edge"], scope.bfs_max_depth, k, filters, groups)))
     return lists
 
 
@@ -108,7 +115,7 @@ def search_facts(t: Tables, query: str, scope: Scope, limit: int = 10, vector: l
     if scope.reranker is Reranker.MMR:
         return rk.mmr(rk.merge_first_seen(lists), df, "fact_embedding", vector, limit, scope.mmr_lambda, min_score)
     if scope.reranker is Reranker.CROSS_ENCODER:
-        return rk.cross_encode(rk.rrf(lists, 2 * limit), df, "fact", query, limit, min_score)
+        return rk.cross_encode(_bounded(rk.rrf(lists, 2 * limit)), df, "fact", query, limit, min_score)
     if scope.reranker is Reranker.NODE_DISTANCE:
         if not center:
             raise RerankerError("node distance needs a center")
