@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tempograph.llm import langid, lattice, linecrf, lines, mixing, neardup, packing, quality, secretscan, suffix
+from tempograph.llm.common import small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
