@@ -7,33 +7,38 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tempograph.llm import lines, mixing, neardup, packing, quality
-from tempograph.llm.common import shared_dir
+from tempograph.llm.common import shared_dir, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go; all columns stay."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_rows(docs, quality.fit(spark, docs, labels))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: of each group of near-equal lines one occurrence stays; documents left without words go."""
+    small_batches(spark)
     return lines.drop_lines(spark, docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of each group stays."""
+    small_batches(spark)
     return neardup.deduplicate(spark, docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document is repeated as often as its fitted rate says; at rate 0 it goes."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.resample(spark, docs, labels)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Harmonic packing: the place of every piece of every document."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
