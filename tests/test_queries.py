@@ -9,7 +9,7 @@ from tempograph.queries import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Two lines of the smallest tables share all of an edge's key, so that answers by uuid differ; sf0.01 has none.
-SHARED = {"s17_facts_by_episode", "u7_merge_versions", "e2_dedupe_batch", "e5_exact_duplicates"}
+SHARED = {"s17_facts_by_episode", "u7_merge_versions", "w3_save_bulk", "e2_dedupe_batch", "e5_exact_duplicates"}
 
 
 @pytest.fixture(scope="module")
