@@ -359,6 +359,33 @@ def test_line_groups_are_those_of_brute_force(spark):
     assert {frozenset(v) for v in by.values()} == want and set(keep.values()) == {1} and len(want) > 10
 
 
+def test_line_pairs_by_edit_similarity_alone(spark):
+    """No SimHash in the brute force; of every other line there is a copy with a word replaced."""
+    r, keys = random.Random(5), set()
+    for x in read(spark, "documents").where("doc_id < 100").select("text").collect():
+        keys |= {b" ".join(words(y)).decode() for y in (x[0] or "").split("\n") if 3 <= len(words(y)) < 150}
+    keys = sorted(keys)
+    vocabulary = sorted({w for k in keys for w in k.split()})
+    for k in keys[::2]:
+        w = k.split()
+        w[r.randrange(len(w))] = r.choice(vocabulary)
+        keys.append(" ".join(w))
+    keys = sorted(set(keys), key=len)
+    pairs = []
+    for j, b in enumerate(keys):
+        most = int((1 - lines.SIMILARITY) * len(b) + 1e-9)
+        count = collections.Counter(b)
+        for i in range(j - 1, -1, -1):
+            if len(keys[i]) < len(b) - most:
+                break
+            if (count - collections.Counter(keys[i])).total() <= most and lines.edits(keys[i], b, most) <= most:
+                pairs.append((i, j))
+    d = spark.createDataFrame([(i, k, "en", "s", len(k)) for i, k in enumerate(keys)], DOCS)
+    group = {x.doc_id: x.group_id for x in lines.duplicates(spark, d).collect()}
+    found = [group.get(i, -1) == group.get(j, -2) for i, j in pairs]
+    assert len(pairs) > 200 and np.mean(found) >= 0.97
+
+
 def test_drop_lines(spark, odd):
     long = "a line of words that goes on for quite some while and is long enough to differ a little without any harm at all in its many words"
     rows = [(50, f"first here now\n{long}", "en", "s", 1), (51, f"{long}!\nsecond there then", "en", "s", 1), (52, long.upper(), "en", "s", 1), (53, f"{long} at\nunique ending line", "en", "s", 1), (54, "a b\na b", "en", "s", 1)]
