@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,48 +99,72 @@ def _rates(n: int, p: np.ndarray, history: np.ndarray) -> np.ndarray:
     return r
 
 
+#: Weight, as a share of all tokens, of the change of rates against the miss of the targets.
+EASE = 1e-7
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], iterations: int = 40, tolerance: float = 1e-4) -> np.ndarray:
-    """Steps of projected gradient descent for min |sum_d r_d n_d p_d - b|^2 over r >= 0, from r = 1.
+    """The one projected step from r = 1 to the rates nearest to 1 of those with least |sum_d r_d n_d p_d - b|, r >= 0.
 
-    b is the target weights times all tokens.  In the metric of the tokens (each row's gradient divided by
-    its n_d) the gradient of row d is p_d . (sum_d r_d n_d p_d - b), so each iteration is one
-    distributed sum of as many numbers as there are domains, and the steps are all the state there is.
+    b is the target weights times all tokens.  In the metric of the tokens the nearest rates are
+    max(1 + p_d . x, 0) for some x of as many numbers as there are domains: x is found by Newton's method,
+    each evaluation of which is one distributed sum, so that rare domains take no more steps than others.
+    EASE bounds x where the targets can't be met.  A warning tells when ``iterations`` evaluations
+    don't suffice or a target is missed by more than ``tolerance`` of all tokens.
     """
     k = len(DOMAINS)
     weights = np.array([targets[x] for x in DOMAINS], dtype=float)
     weights /= weights.sum()
 
-    def totals(history: np.ndarray) -> np.ndarray:
+    def totals(x: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(2 * k + k * k)
+            out = np.zeros(k + k * k + 2)
             for b in batches:
                 n = b.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
                 p = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                out[:k] += (_rates(len(n), p, history) * n) @ p
-                out[k : 2 * k] += n @ p
-                out[2 * k :] += ((p * n[:, None]).T @ p).ravel()
+                r = _rates(len(n), p, -x[None])
+                out[:k] += (r * n) @ p
+                out[k:-2] += ((p * (n * (r > 0))[:, None]).T @ p).ravel()
+                out[-2:] += (n * r * r).sum() / 2, n.sum()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "x"])
 
         got = members.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(2 * k + k * k)
+        out = np.zeros(k + k * k + 2)
         for r in got:
             out[r["i"]] = r["x"]
         return out
 
-    first = totals(np.zeros((0, k)))
-    tokens = first[k : 2 * k].sum()
-    history = np.zeros((0, k))
+    x = np.zeros(k)
+    now = totals(x)
+    tokens = now[-1]
     if tokens <= 0:
-        return history
-    b = weights * tokens
-    lipschitz = max(np.linalg.eigvalsh(first[2 * k :].reshape(k, k)).max(), 1e-9)
-    now = first[:k]
+        return np.zeros((0, k))
+    b, ease = weights * tokens, EASE * tokens
+
+    def slope(x: np.ndarray, now: np.ndarray) -> np.ndarray:
+        return now[:k] - b + ease * x
+
+    def value(x: np.ndarray, now: np.ndarray) -> float:
+        return now[-2] - b @ x + ease * (x @ x) / 2
+
+    step, length = None, 1.0
     for _ in range(iterations):
-        history = np.vstack([history, (now - b) / lipschitz])
-        now = totals(history)[:k]
-        if np.abs(now - b).max() <= tolerance * tokens:
+        g = slope(x, now)
+        if np.abs(g).max() <= tolerance * tokens:
             break
-    return history
+        if step is None:
+            step, length = -np.linalg.solve(now[k:-2].reshape(k, k) + ease * np.eye(k), g), 1.0
+        then = totals(x + length * step)
+        if value(x + length * step, then) <= value(x, now) + 1e-4 * length * (g @ step) + 1e-12 * tokens:
+            x, now, step = x + length * step, then, None
+        else:
+            length /= 2
+    missed = np.abs(now[:k] - b).max() / tokens
+    if np.abs(slope(x, now)).max() > tolerance * tokens:
+        warnings.warn(f"mixing: rates not fitted after {iterations} evaluations, a target is missed by {missed:.2g} of all tokens", stacklevel=2)
+    elif missed > 2 * tolerance:
+        warnings.warn(f"mixing: the targets can't be met, the nearest miss is {missed:.2g} of all tokens", stacklevel=2)
+    return -x[None]
 
 
 def copies(rate: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -153,10 +178,10 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     """Soft-membership mixing: (doc_id, n_tokens, p_clean, p_toxic, p_low, rate, copies) of every row of docs.
 
     A classifier of the labelled table gives each document's posterior over DOMAINS; rates are
-    fitted by distributed projected gradient so that the expected tokens of each domain, over all
+    fitted by distributed Newton steps so that the expected tokens of each domain, over all
     documents, come to the target weights of all tokens.  ``copies`` rounds the rate by a fixed uniform
     number of the doc_id, so that its mean is the rate.  A domain that no document is in can't be met:
-    the fit is then the nearest.  Null texts are empty (1 token); null ids round down at one half;
+    the fit is then the nearest, with a warning.  Null texts are empty (1 token); null ids round down at one half;
     repeated rows have a rate each; no rows give no rows; other columns are ignored.
     """
     targets = targets or TARGETS

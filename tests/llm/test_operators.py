@@ -142,6 +142,25 @@ def test_rates_reach_the_least_squares(spark):
     assert np.abs((r * n) @ p / n.sum() - [0.2, 0.7, 0.1]).max() < 1e-3
 
 
+def test_rates_of_rare_domains_with_the_defaults(spark):
+    """Shares of 0.955, 0.045 and 0.0005 as after the quality stage, once hard and once a little soft."""
+    n = 4000
+    for soft in (0.0, 0.004):
+        p = np.full((n, 3), soft / 2)
+        p[np.arange(n), [2 if i < 2 else 1 if i < 180 else 0 for i in range(n)]] = 1 - soft
+        rows = [(i, 100, [float(x) for x in p[i]]) for i in range(n)]
+        h = mixing.fit_rates(spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>"), mixing.TARGETS)
+        r = mixing._rates(n, p, h)
+        assert np.abs(r @ p / n - [0.97, 0.02, 0.01]).max() < 2e-4
+
+
+def test_unmet_targets_are_reported(spark):
+    d = spark.createDataFrame([(i, 10, [1.0, 0.0, 0.0]) for i in range(20)], "doc_id long, n_tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="can't be met"):
+        h = mixing.fit_rates(d, mixing.TARGETS)
+    assert abs(mixing._rates(1, np.array([[1.0, 0.0, 0.0]]), h)[0] - 0.97) < 1e-3
+
+
 def test_mixing_odd_rows(spark, odd, labels):
     assert mixing.mix(spark, odd, labels).count() == len(ODD)
     assert mixing.mix(spark, odd.limit(0), labels.limit(0)).count() == 0
