@@ -608,8 +608,7 @@ def t3_expire_invalid(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def c1_label_propagation(s: SparkSession, d: str) -> DataFrame:
-    e = src.entities(s, d).withColumn("group_id", F.substring("uuid", -1, 1))
-    return communities.label_propagation(e, src.facts(s, d))
+    return communities.label_propagation(_one_group(s, d)["entity"], src.facts(s, d))
 
 
 @query("SELECT 'n' || lpad(CAST(c_nationkey AS VARCHAR), 9, '0') AS label, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1")

@@ -35,3 +35,13 @@ def test_query(spark, duck, name):
         assert normal(got) == normal(want)
     else:
         assert list(got.columns)
+
+
+def test_communities_are_those_of_the_whole_graph(spark):
+    from tempograph.operators.communities import propagate
+    from tempograph.sources import tables as src
+
+    nodes = sorted((r[0] for r in src.entities(spark, SF).select("uuid").collect()), reverse=True)
+    edges = [(r[0], r[1]) for r in src.facts(spark, SF).select("source_node_uuid", "target_node_uuid").collect()]
+    got = {r.uuid: r.label for r in QUERIES["c1_label_propagation"](spark, SF).collect()}
+    assert got == propagate(nodes, edges)
