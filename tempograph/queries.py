@@ -517,6 +517,22 @@ def d6_jaccard(s: SparkSession, d: str) -> DataFrame:
     return j.select("a", "b", tx.jaccard("t", "u").alias("j")).where("j >= 0.8").withColumn("j", F.round("j", 6))
 
 
+@query()
+def d6_jaccard_all(s: SparkSession, d: str) -> DataFrame:
+    """All pairs of distinct names with Jaccard 0.8 or more, of all entities and whatever their first letters.
+
+    Sets that similar share one of their rarest n - ceil(0.8 n) + 1 shingles, so none is missed.
+    """
+    e = src.entities(s, d).select(F.concat_ws(" ", "name", "summary").alias("name")).distinct()
+    n = src.written(e.withColumn("t", tx.shingles(tx.fuzzy_form("name"))))
+    x = n.select("name", F.size("t").alias("n"), F.explode(F.array_distinct("t")).alias("x"))
+    x = x.join(x.groupBy("x").agg(F.count("*").alias("df")), "x").withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("df", "x")))
+    x = src.written(x.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-9) + 1).select("name", "x"))
+    c = x.select(F.col("name").alias("a"), "x").join(x.select(F.col("name").alias("b"), "x"), "x").where("a < b").select("a", "b").distinct()
+    j = c.join(n.select(F.col("name").alias("a"), "t"), "a").join(n.select(F.col("name").alias("b"), F.col("t").alias("u")), "b")
+    return j.select("a", "b", tx.jaccard("t", "u").alias("j")).where("j >= 0.8").withColumn("j", F.round("j", 6))
+
+
 @query("SELECT 'x' || uuid AS uuid, CASE WHEN n = 1 THEN m END AS match, CASE WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS how FROM nm JOIN (SELECT name, count(*) AS n, min(uuid) AS m FROM nm GROUP BY name) c USING (name)", ENT, _NAMES)
 def d7_resolve_exact(s: SparkSession, d: str) -> DataFrame:
     n = _names(s, d)

@@ -45,3 +45,14 @@ def test_communities_are_those_of_the_whole_graph(spark):
     edges = [(r[0], r[1]) for r in src.facts(spark, SF).select("source_node_uuid", "target_node_uuid").collect()]
     got = {r.uuid: r.label for r in QUERIES["c1_label_propagation"](spark, SF).collect()}
     assert got == propagate(nodes, edges)
+
+
+def test_jaccard_of_all_names_is_that_of_brute_force(spark):
+    from tempograph.functions import text as tx
+    from tempograph.sources import tables as src
+
+    e = src.entities(spark, SF).selectExpr("concat_ws(' ', name, summary) as name").distinct()
+    sets = sorted((r.name, frozenset(r.t)) for r in e.withColumn("t", tx.shingles(tx.fuzzy_form("name"))).collect() if r.t)
+    want = {(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[i + 1 :] if len(s & t) >= 0.8 * len(s | t)}
+    got = QUERIES["d6_jaccard_all"](spark, SF).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > QUERIES["d6_jaccard"](spark, SF).count()
