@@ -233,6 +233,11 @@ def p3_endpoint_labels(s: SparkSession, d: str) -> DataFrame:
     return filter_edges(src.facts(s, d), SearchFilters(node_labels=["Customer"]), None, src.entities(s, d)).select("uuid")
 
 
+@query("SELECT f.uuid FROM fct f JOIN ent a ON f.s = a.uuid JOIN ent b ON f.t = b.uuid", FCT, ENT)
+def p3_endpoint_labels_both(s: SparkSession, d: str) -> DataFrame:
+    return filter_edges(src.facts(s, d), SearchFilters(node_labels=["Entity"]), None, src.entities(s, d)).select("uuid")
+
+
 @query("SELECT uuid, name FROM fct WHERE name IN ('ORDERED_A', 'ORDERED_R') AND group_id = 'MACHINERY'", FCT)
 def p4_edge_types(s: SparkSession, d: str) -> DataFrame:
     return filter_edges(src.facts(s, d), SearchFilters(edge_types=["ORDERED_A", "ORDERED_R"]), ["MACHINERY"]).select("uuid", "name")
@@ -556,6 +561,11 @@ def d11_empty_bulk(s: SparkSession, d: str) -> DataFrame:
     return resolve.canonicalize_bulk(src.entities(s, d).where("labels[1] = 'Part' and false"))
 
 
+@query()
+def d11_bulk(s: SparkSession, d: str) -> DataFrame:
+    return resolve.canonicalize_bulk(src.entities(s, d))
+
+
 @query("SELECT uuid, least(uuid, b) AS canonical FROM (SELECT uuid, CASE WHEN _seq % 2 = 0 THEN 'c' || lpad(CAST(_seq + 1 AS VARCHAR), 9, '0') ELSE 'c' || lpad(CAST(_seq - 1 AS VARCHAR), 9, '0') END AS b FROM ent WHERE l = 'Customer')", ENT)
 def d13_components(s: SparkSession, d: str) -> DataFrame:
     c = src.entities(s, d).where("labels[1] = 'Customer' and _seq % 2 = 0").select(F.col("uuid").alias("a"), F.concat(F.lit("c"), F.lpad((F.col("_seq") + 1).cast("string"), 9, "0")).alias("b"))

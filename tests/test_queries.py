@@ -56,3 +56,23 @@ def test_jaccard_of_all_names_is_that_of_brute_force(spark):
     want = {(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[i + 1 :] if len(s & t) >= 0.8 * len(s | t)}
     got = QUERIES["d6_jaccard_all"](spark, SF).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > QUERIES["d6_jaccard"](spark, SF).count()
+
+
+def test_bulk_canonicals_are_those_of_a_sequential_scan(spark):
+    from tempograph.functions import text as tx
+    from tempograph.sources import tables as src
+
+    e = src.entities(spark, SF).select("uuid", "group_id", "_seq", tx.normalize_key("name").alias("k"), tx.shingles(tx.fuzzy_form("name")).alias("s"), tx.high_entropy("name").alias("gate"))
+    want, seen = {}, []
+    for r in sorted(e.collect(), key=lambda r: r["_seq"]):
+        own = set(r["s"])
+        hit = next((c for g, k, _, _, c in seen if g == r["group_id"] and k == r["k"]), None)
+        if hit is None and r["gate"]:
+            near = [(len(own & t) / max(len(own | t), 1), -i, c) for i, (g, _, t, first, c) in enumerate(seen) if first and g == r["group_id"]]
+            near = [x for x in near if x[0] >= 0.9]
+            hit = max(near)[2] if near else None
+        want[r["uuid"]] = hit or r["uuid"]
+        seen.append((r["group_id"], r["k"], own, bool(r["gate"]) and hit is None, want[r["uuid"]]))
+    got = QUERIES["d11_bulk"](spark, SF).collect()
+    assert {r.uuid: r.canonical for r in got} == want and len(got) == len(want) > 0
+    assert QUERIES["p3_endpoint_labels_both"](spark, SF).count() > 0
