@@ -43,14 +43,22 @@ def slots(gram: np.ndarray, which: int) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """Bit-sliced Bloom filters: slot s holds a mask with bit l set if a gram of language l fell on it."""
+    """Bit-sliced Bloom filters: slot s holds a mask with bit l set if a gram of language l fell on it; 64 languages a word, as many words as it takes."""
 
     names: list[str]
-    table: np.ndarray  # uint64 [slots]
+    table: np.ndarray  # uint64 [words, slots]
+
+    @classmethod
+    def empty(cls, names: list[str]) -> "Filters":
+        return cls(names, np.zeros((max(1, -(-len(names) // 64)), 1 << LOG_SLOTS), dtype=np.uint64))
+
+    def add(self, language: int, gram: np.ndarray) -> None:
+        for h in range(HASHES):
+            self.table[language >> 6, slots(gram, h)] |= np.uint64(1 << (language & 63))
 
     def false_rate(self) -> np.ndarray:
         """Chance that a gram that isn't in language l seems to be: its fill, to the power of the hashes."""
-        return np.array([np.mean((self.table >> np.uint64(k)) & np.uint64(1)) ** HASHES for k in range(len(self.names))])
+        return np.array([np.mean((self.table[k >> 6] >> np.uint64(k & 63)) & np.uint64(1)) ** HASHES for k in range(len(self.names))])
 
     def counts(self, n: int, doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
         """[texts, languages]: grams of each text that are in each language's filter.
@@ -58,14 +66,17 @@ class Filters:
         One AND over the slots returns the mask of all languages with the gram; masks are counted by
         text, and bits then by language.
         """
-        mask = self.table[slots(gram, 0)]
-        for h in range(1, HASHES):
-            mask &= self.table[slots(gram, h)]
+        at = [slots(gram, h) for h in range(HASHES)]
+        masks = []
+        for word in self.table:
+            masks.append(word[at[0]])
+            for x in at[1:]:
+                masks[-1] &= word[x]
         k = len(self.names)
         out = np.zeros((n, k))
         for low in range(0, k, 8):  # 8 languages at a time
             m = min(8, k - low)
-            part = ((mask >> np.uint64(low)) & np.uint64(255)).astype(np.int64)
+            part = ((masks[low >> 6] >> np.uint64(low & 63)) & np.uint64(255)).astype(np.int64)
             by = np.bincount((doc << 8) + part, minlength=n << 8).reshape(n, 256)
             out[:, low : low + m] = by @ ((np.arange(256)[:, None] >> np.arange(m)) & 1)
         return out
@@ -97,13 +108,9 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = 400, min_sha
     lang = np.array(kept.column("l").to_pylist(), dtype=object)
     gram = kept.column("g").to_numpy().astype(np.uint64).astype(np.uint32)
     names = sorted(set(lang.tolist()))
-    if len(names) > 64:
-        raise ValueError(f"a mask holds 64 languages, not {len(names)}")
-    f = Filters(names, np.zeros(1 << LOG_SLOTS, dtype=np.uint64))
+    f = Filters.empty(names)
     for k, name in enumerate(names):
-        own = gram[lang == name]
-        for h in range(HASHES):
-            f.table[slots(own, h)] |= np.uint64(1 << k)
+        f.add(k, gram[lang == name])
     return f
 
 

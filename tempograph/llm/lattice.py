@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -10,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import numbers, pairs_in_runs, table_of, tasks, written
+from tempograph.llm.common import cell_pairs, classes, components, written
 from tempograph.llm.textkernel import mix
 
 THRESHOLD = 0.95
-TABLES = 8
-SCALE = 4.0
-PROBES = 16
+TABLES = 12
+PARTS = 3  # lattice points that make a cell: unrelated vectors share about one cell in ten million
+SCALE = 1.5
+PROBES = 6
 
 
 def decode_d8(x: np.ndarray) -> np.ndarray:
@@ -60,12 +62,12 @@ def projections(dim: int, tables: int, seed: int = 11) -> np.ndarray:
     return np.stack(out)
 
 
-def _codes(points: np.ndarray, table: int) -> np.ndarray:
+def _codes(points: np.ndarray, salt: np.ndarray) -> np.ndarray:
     u = points.astype(np.int64).view(np.uint64)
-    h = np.full(len(points), table + 1, dtype=np.uint64)
+    h = salt.astype(np.uint64)
     for k in range(8):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + u[:, k], 4)
-    return h.view(np.int64)
+    return h
 
 
 def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,67 +78,95 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x / np.where(ok, norm, 1)[:, None], ok
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, dim: int | None = None, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES) -> DataFrame:
-    """Pairs of embeddings with cosine >= threshold: (vec_a, vec_b, cosine), vec_a < vec_b.
-
-    Unit vectors are projected to 8 dimensions, scaled and decoded to the nearest E8 lattice point, in
-    ``tables`` independent tables; each vector also probes the ``probes`` neighbouring lattice points (of
-    240) that are nearest to it.  Vectors that meet in a cell of a table are candidates, and the cosine
-    decides.  Any vector is a query; recall at 0.95 is above 0.9 (tests), all results are right.
-
-    Vectors that are null, have a null, non-finite or no non-zero entry, or aren't of ``dim`` entries
-    (default: the commonest size, the least of equals), and null ids, are left out.  Repeated rows of an id
-    are one vector if alike, else each of them may give the pair, which is listed once with its
-    highest cosine; an id is never its own partner.  No rows give no rows; other columns are ignored.
+@lru_cache(16)
+def _turns(dim: int, tables: int) -> np.ndarray:
+    return projections(dim, tables * PARTS)
+
+
+def cells_of(x: np.ndarray, tables: int, scale: float, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(cell, row, is a probe) of unit vectors in each table; their number of entries is part of the cell."""
+    turn, ring = _turns(x.shape[1], tables), shortest()
+    toward, half = ring.T.astype(np.float32), np.float32(0.5) * (ring * ring).sum(axis=1).astype(np.float32)
+    n = len(x)
+    for t in range(tables):
+        home, score = [], []
+        for part in range(PARTS):
+            y = x @ turn[t * PARTS + part] * scale
+            home.append(decode_e8(y))
+            # the nearest neighbours of a home point are those most along the rest
+            score.append((2 * y - home[-1]).astype(np.float32) @ toward - half)
+        score, home = np.concatenate(score, axis=1), np.stack(home)
+        salt = x.shape[1] * 4096 + t * PARTS
+        code = [mix(_codes(h, np.full(n, salt + part)), part) for part, h in enumerate(home)]
+        whole, code, rows = sum(code, np.zeros(n, np.uint64)), np.stack(code), np.arange(n)
+        keys = [mix(whole, 6)]
+        best = np.argpartition(-score, probes, axis=1)[:, :probes] if probes else np.zeros((n, 0), np.int64)
+        for p in range(probes):
+            part = best[:, p] // len(ring)
+            moved = _codes(home[part, rows] + ring[best[:, p] % len(ring)], salt + part)
+            keys.append(mix(whole - code[part, rows] + np.choose(part, [mix(moved, k) for k in range(PARTS)]), 6))
+        yield np.concatenate(keys).view(np.int64), np.tile(np.arange(n), probes + 1), np.arange(n * (probes + 1)) >= n
+
+
+def _by_size(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of the lists of each length above 0."""
+    size = np.diff(np.asarray(lists.offsets)) if len(lists) else np.zeros(0, np.int64)
+    for dim in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == dim)
+        yield at, lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES, **split: int) -> DataFrame:
+    """Classes of embeddings near each other: (vec_id, class_id, links, cosine), a row for each member of a class of two or more.
+
+    Two vectors are linked if their cosine is ``threshold`` or more; classes are the connected components,
+    ``class_id`` their least vec_id, ``links`` the links verified at a vector (each of a class has one or more; members that an
+    earlier link connects aren't compared again) and ``cosine`` the highest of them.
+
+    Unit vectors are projected to PARTS times 8 dimensions in each of ``tables`` tables, scaled, and each part decoded to the nearest E8 lattice
+    point; the points together are the cell.  Each vector also probes the ``probes`` neighbouring
+    cells (one part moved to one of the 240 nearest points) that are nearest to it.  Vectors that meet in a cell are
+    candidates, and the cosine decides: first each cell's vectors against its least, then those that
+    aren't of one class yet (common.cell_pairs).  Any vector is a query; recall at 0.95 is above 0.9 (tests), all links are right.
+
+    Vectors that are null, have a null, non-finite or no non-zero entry, and null ids, are left out; vectors
+    of different lengths are never near.  Equal vectors are one in the search and linked to the least id among them.  Repeated rows of an id
+    are one vector if alike, else each of them may give the link; an id is never its own partner.  No rows give no rows; other
+    columns are ignored.
     """
-    v = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    v = v.where(~F.exists("x", lambda e: e.isNull()))
-    if dim is None:
-        row = v.groupBy(F.size("x").alias("k")).count().where("k > 0").orderBy(F.desc("count"), "k").first()
-        dim = row["k"] if row else 1
-    v = written(v.where(F.size("x") == dim).distinct(), "vectors")
-    turn, ring = projections(dim, tables), shortest()
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, ok = unit(b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            ids, x = b.column("vec_id").to_numpy()[ok], x[ok]
-            for t in range(tables):
-                y = x @ turn[t] * scale
-                home = decode_e8(y)
-                # the nearest neighbours of the home point are those most along the rest
-                score = (2 * y - home) @ ring.T - 0.5 * (ring * ring).sum(axis=1)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                codes = [_codes(home, t)] + [_codes(home + ring[best[:, p]], t) for p in range(probes)]
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.arange(n * (probes + 1)) >= n), pa.array(np.tile(ids, probes + 1))], ["code", "probe", "vec_id"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = table_of(batches)
-        if t is None:
-            return
-        code, probe, ids = numbers(t, "code"), numbers(t, "probe"), numbers(t, "vec_id")
-        order = np.lexsort((probe, code))
-        code, probe, ids = code[order], probe[order], ids[order]
-        end = np.searchsorted(code, code, side="right")
-        # a home meets all later homes and probes of its cell
-        for i, j in pairs_in_runs(np.arange(len(code)) + 1, np.where(probe, 0, end)):
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            both = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["vec_a", "vec_b"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    v = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    v = v.where("size(x) > 0").where(~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("x", lambda e: e != 0))
+    v = written(v.distinct(), "vectors")
+    unique = written(v.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "unique")
+    same = v.join(unique.where("copies > 1").select("x", F.col("id").alias("a")), "x").where("a <> id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+
+    def hashed(probed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at, x in _by_size(b.column("x")):
+                    x, ok = unit(x)
+                    ids, cls = (b.column(c).to_numpy()[at][ok] for c in ("id", "cls"))
+                    for key, row, probe in cells_of(x[ok], tables, scale, probed):
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(probe), pa.array(ids[row]), pa.array(cls[row])], ["key", "probe", "id", "cls"])
+
+        return run
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (unit(b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))[0] for c in ("xa", "xb"))
-            cosine = np.clip((x * y).sum(axis=1), -1, 1)
-            out = pa.RecordBatch.from_arrays([b.column("vec_a"), b.column("vec_b"), pa.array(cosine)], ["vec_a", "vec_b", "cosine"])
-            yield out.filter(pa.array(cosine >= threshold))
-
-    pairs = v.mapInArrow(hashed, "code long, probe boolean, vec_id long").repartition(tasks(spark), "code").mapInArrow(meet, "vec_a long, vec_b long").distinct()
-    both = pairs.join(v.select(F.col("vec_id").alias("vec_a"), F.col("x").alias("xa")), "vec_a").join(v.select(F.col("vec_id").alias("vec_b"), F.col("x").alias("xb")), "vec_b")
-    found = both.select("vec_a", "vec_b", "xa", "xb").mapInArrow(verify, "vec_a long, vec_b long, cosine double")
-    return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+            for at, x in _by_size(b.column("xa")):
+                own = b.take(pa.array(at))
+                y = own.column("xb").flatten().to_numpy(zero_copy_only=False).reshape(x.shape)
+                cosine = np.clip((unit(x)[0] * unit(y)[0]).sum(axis=1), -1, 1)
+                yield pa.RecordBatch.from_arrays([own.column("a"), own.column("b"), pa.array(cosine)], ["a", "b", "cosine"]).filter(pa.array(cosine >= threshold))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(unique.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(unique.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+        return both.where("size(xa) = size(xb)").select("a", "b", "xa", "xb").mapInArrow(cosines, "a long, b long, cosine double")
+
+    first, cls = classes(unique.select("id", F.col("id").alias("cls"), "x").mapInArrow(hashed(0), "key long, probe boolean, id long, cls long").select("key", "id").distinct(), verify)
+    rows = written(unique.select("id", "x").join(cls, "id", "left").select("id", F.coalesce("root", "id").alias("cls"), "x"), "classed")
+    rest = written(verify(cell_pairs(rows, hashed(probes), {}, **split)), "links")
+    links = first.unionByName(rest).unionByName(same).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    root = components(links, "a", "b").withColumnsRenamed({"id": "vec_id", "root": "class_id"})
+    ends = links.select(F.col("a").alias("vec_id"), "cosine").unionByName(links.select(F.col("b").alias("vec_id"), "cosine"))
+    return root.join(ends.groupBy("vec_id").agg(F.count("*").alias("links"), F.max("cosine").alias("cosine")), "vec_id").select("vec_id", "class_id", "links", "cosine")

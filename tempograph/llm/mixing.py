@@ -198,9 +198,13 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     return members.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{x} double" for x in DOMAINS) + ", rate double, copies long")
 
 
-def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = 6000) -> DataFrame:
-    """docs with each row repeated ``copies`` times (see mix): rows at 0 go, all columns stay; no shuffle of texts."""
-    model = train(spark, docs, labels, max_labelled)
+def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = 6000, fit_on: DataFrame | None = None) -> DataFrame:
+    """docs with each row repeated ``copies`` times (see mix): rows at 0 go, all columns stay; no shuffle of texts.
+
+    Null and empty texts count 1 token, null ids round at one half, repeated rows are repeated each by the rate they
+    share; no rows give no rows, and other columns may have any name.  The classifier is fitted on the labelled documents of ``fit_on`` (default: docs).
+    """
+    model = train(spark, docs if fit_on is None else fit_on, labels, max_labelled)
     history = fit_rates(written(posteriors(docs, model), "members"), targets or TARGETS)
     shared, names = spark.sparkContext.broadcast(model), docs.columns
 

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempograph.llm.common import components, drop_ids, fresh, numbers, pairs_in_runs, table_of, tasks, written
+from tempograph.llm.common import cell_pairs, classes, components, drop_ids, fresh, row_ids, written
 from tempograph.llm.textkernel import Words, chunks, simhash, weight_of
 
-TABLES = 4  # independent fingerprints of 32 bits
+TABLES = 6  # independent fingerprints of 32 bits
 SEGMENTS = 16  # of 2 bits each
-RADIUS = 3  # differing bits of a 32-bit fingerprint
-AGREE = 24  # differing bits of all 128, at which a pair is verified
-LONGER = 1.5  # most words of one for each of the other
+RADIUS = 2  # differing bits of a 32-bit fingerprint
+AGREE = 36  # differing bits of all 192, up to which a pair is linked
 
-_HALF = SEGMENTS // 2
+_WORDS = ["f0", "f1", "f2"]
 
 
 def popcounts(x: np.ndarray) -> np.ndarray:
@@ -29,8 +28,8 @@ def popcounts(x: np.ndarray) -> np.ndarray:
 
 
 def cell(counts: np.ndarray) -> np.ndarray:
-    """Number of the unit grid cell of popcounts in half of the segments."""
-    return counts.astype(np.int64) @ (3 ** np.arange(_HALF))
+    """Number of the unit grid cell of popcounts."""
+    return counts.astype(np.int64) @ (3 ** np.arange(SEGMENTS))
 
 
 def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,121 +45,115 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, n): 128-bit SimHash of the words of each text, weighted by length, and their number; texts without words or ids left out."""
+    """(doc_id, f0, f1, f2): 192-bit SimHash of the words of each text, weighted by length; texts without words or ids left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             w = Words.of(b.column("text"))
-            f = simhash(w.hash, weight_of(w.end - w.start), w.doc, b.num_rows, 2).view(np.int64)
-            n = np.diff(w.first)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array(n.astype(np.int64))], ["doc_id", "f0", "f1", "n"]).filter(pa.array(n > 0))
+            f = simhash(w.hash, weight_of(w.end - w.start), w.doc, b.num_rows, len(_WORDS)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(f[:, k].copy()) for k in range(len(_WORDS))]], ["doc_id", *_WORDS]).filter(pa.array(np.diff(w.first) > 0))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f0 long, f1 long, n long")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long")
 
 
-def _lanes(f0: np.ndarray, f1: np.ndarray) -> list[np.ndarray]:
-    u = [f0.view(np.uint64), f1.view(np.uint64)]
+def _lanes(b: pa.RecordBatch) -> list[np.ndarray]:
+    u = [b.column(c).to_numpy().view(np.uint64) for c in _WORDS]
     return [((u[t // 2] >> np.uint64(32 * (t % 2))) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for t in range(TABLES)]
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Grid rows of each fingerprint.  key: table, half and cell; probe: 1 in a neighbouring cell.
+def _cells(probes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Grid rows of each fingerprint: its own cell, and with ``probes`` all cells one step away.
 
-    Manhattan distance 3 over 16 segments leaves at most 1 to one of the halves: two fingerprints are in
-    the same cell of a half, or in cells one step apart.  A step changes the parity of the sum, so only
-    even cells probe their neighbours.
+    Two cells at Manhattan distance 2 or less are the same, or one step apart, or have a cell one step from
+    both: fingerprints within RADIUS 2 meet, be it as probes.
     """
-    power = 3 ** np.arange(_HALF)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rep = b.column("rep").to_numpy()
-        for t, x in enumerate(_lanes(b.column("f0").to_numpy(), b.column("f1").to_numpy())):
-            counts = popcounts(x)
-            for half in range(2):
-                c = counts[:, half * _HALF : (half + 1) * _HALF].astype(np.int64)
-                home = cell(c)
-                even = np.flatnonzero(c.sum(axis=1) % 2 == 0)
-                keys, rows, probe = [home], [np.arange(len(home))], [np.zeros(len(home), bool)]
-                for d in range(_HALF):
+    power = 3 ** np.arange(SEGMENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, cls = b.column("id").to_numpy(), b.column("cls").to_numpy()
+            for t, x in enumerate(_lanes(b)):
+                counts = popcounts(x)
+                home = cell(counts)
+                keys, rows = [home], [np.arange(len(home))]
+                if probes:
                     for step in (-1, 1):
-                        own = even[(c[even, d] + step >= 0) & (c[even, d] + step <= 2)]
+                        own, d = np.nonzero((counts + step >= 0) & (counts + step <= 2) if step > 0 else counts > 0)
                         keys.append(home[own] + step * power[d])
                         rows.append(own)
-                        probe.append(np.ones(len(own), bool))
-                at = np.concatenate(rows)
-                key = np.concatenate(keys) + (2 * t + half) * 3**_HALF
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.concatenate(probe)), pa.array(rep[at]), pa.array(x[at].view(np.int32))], ["key", "probe", "rep", "x"])
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a task's grid rows at Manhattan distance <= RADIUS, and then at Hamming distance <= RADIUS."""
-    t = table_of(batches)
-    if t is None:
-        return
-    key, probe, rep, x = numbers(t, "key").astype(np.int64), numbers(t, "probe"), numbers(t, "rep"), numbers(t, "x").view(np.uint32)
-    order = np.lexsort((probe, key))
-    key, probe, rep, x = key[order], probe[order], rep[order], x[order]
-    end = np.searchsorted(key, key, side="right")
-    # homes meet later homes (same cell), and the probes of even cells
-    first = np.arange(len(key)) + 1
-    last = np.where(probe, 0, end)
-    for i, j in pairs_in_runs(first, last):
-        near = manhattan(x[i], x[j]) <= RADIUS
-        i, j = i[near], j[near]
-        near = np.bitwise_count(x[i] ^ x[j]) <= RADIUS
-        i, j = rep[i[near]], rep[j[near]]
-        if len(i):
-            both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
-
-def near_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b, distance), a < b: all pairs of rows (rep, f0, f1, n) with a 32-bit fingerprint within RADIUS, all 128 bits within AGREE and numbers of words within LONGER.
+                at, key = np.concatenate(rows), np.concatenate(keys) + t * 3**SEGMENTS
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(at)) >= len(home)), pa.array(ids[at]), pa.array(cls[at]), pa.array(x[at].view(np.int32))], ["key", "probe", "id", "cls", "x"])
+
+    return run
+
+
+def _near(cells: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Manhattan distance, the lower bound, first; then Hamming distance."""
+    x, y = (cells["x"][k].view(np.uint32) for k in (i, j))
+    near = manhattan(x, y) <= RADIUS
+    near[near] = np.bitwise_count(x[near] ^ y[near]) <= RADIUS
+    return near
+
+
+def linked(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b, distance) of the pairs that are links: a 32-bit fingerprint within RADIUS and all bits within AGREE."""
+    both = pairs.join(prints.selectExpr("id as a", *[f"{c} as a_{c}" for c in _WORDS]), "a").join(prints.selectExpr("id as b", *[f"{c} as b_{c}" for c in _WORDS]), "b")
+    xors = [F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")) for c in _WORDS]
+    half = F.lit(0xFFFFFFFF).cast("long")
+    lane = F.least(*[F.least(F.bit_count(x.bitwiseAND(half)), F.bit_count(F.shiftrightunsigned(x, 32))) for x in xors])
+    distance = sum((F.bit_count(x) for x in xors[1:]), F.bit_count(xors[0]))
+    return both.select("a", "b", distance.alias("distance"), lane.alias("lane")).where((F.col("lane") <= RADIUS) & (F.col("distance") <= AGREE)).select("a", "b", "distance").distinct()
+
+
+def links(prints: DataFrame, **split: int) -> DataFrame:
+    """(a, b, distance), a < b: links between rows (id, f0, f1, f2) that connect all that links do.
 
     The Manhattan distance of segment popcounts never exceeds the Hamming distance, so that the grid join
-    misses no pair within RADIUS.
+    misses no pair within RADIUS.  Pairs that are of one class by the links to the least id of their
+    cells aren't compared (common.cell_pairs).
     """
-    spark = prints.sparkSession
-    cells = prints.mapInArrow(_cells, "key int, probe boolean, rep long, x int").repartition(tasks(spark), "key")
-    found = written(cells.mapInArrow(_candidates, "a long, b long").distinct(), "near")
-    a = found.join(prints.selectExpr("rep as a", "f0 as a0", "f1 as a1", "n as an"), "a")
-    both = a.join(prints.selectExpr("rep as b", "f0 as b0", "f1 as b1", "n as bn"), "b")
-    distance = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    return both.select("a", "b", "an", "bn", distance.alias("distance")).where((F.col("distance") <= AGREE) & (F.greatest("an", "bn") <= LONGER * F.least("an", "bn"))).select("a", "b", "distance")
+    schema = "key long, probe boolean, id long, cls long, x int"
+    first, cls = classes(prints.select("id", F.col("id").alias("cls"), *_WORDS).mapInArrow(_cells(False), schema).select("key", "id").distinct(), lambda p: linked(p, prints))
+    rows = written(prints.join(cls, "id", "left").select("id", F.coalesce("root", "id").alias("cls"), *_WORDS), "classed")
+    rest = linked(written(cell_pairs(rows, _cells(True), {"x": "int"}, _near, True, **split), "near"), prints)
+    return first.unionByName(rest).distinct()
 
 
-def groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def groups(spark: SparkSession, docs: DataFrame, **split: int) -> DataFrame:
     """SimHash near-duplicate groups: (doc_id, group_id, keep), a row for each document of a group of two or more.
 
-    Documents are joined when one of their four 32-bit fingerprints differs in at most RADIUS bits and all
-    128 bits in at most AGREE, and neither has more than LONGER times the words of the other; groups are the connected components, ``group_id`` their least doc_id, and
-    ``keep`` holds for that document alone.  Equal fingerprints of equally
-    many words are collapsed before the search, so
-    thousands of copies cost one row.  Null or empty texts, and texts without a word, are near nothing;
+    Documents are linked when one of their six 32-bit fingerprints differs in at most RADIUS bits and all
+    192 bits in at most AGREE; groups are the connected components, ``group_id`` their least doc_id, and
+    ``keep`` holds for that document alone.  Equal fingerprints are collapsed before the search, so
+    thousands of copies cost one row.  Words are runs of ASCII letters, digits, _ and non-ASCII characters, in lower case
+    (textkernel).  Null or empty texts, and texts without a word, are near nothing;
     rows without doc_id are left out.  Rows that share a doc_id and a fingerprint count once; with several
     fingerprints, the id is a member by each.  No rows give no rows.  Other columns are ignored.
     """
     f = written(fingerprints(docs).distinct(), "prints")
-    unique = written(f.groupBy("f0", "f1", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "unique")
-    pairs = near_pairs(unique)
-    same = f.join(unique.where("copies > 1").select("f0", "f1", "n", "rep"), ["f0", "f1", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = components(pairs.select("a", "b").unionByName(same), "a", "b")
+    unique = written(f.groupBy(*_WORDS).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "unique")
+    same = f.join(unique.where("copies > 1").select(*_WORDS, "id"), _WORDS).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    found = components(links(unique.drop("copies"), **split).select("a", "b").unionByName(same), "a", "b")
     return found.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("keep"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group, the least doc_id; a repeated doc_id keeps one row.
+    """docs with one document of each near-duplicate group, that of the least doc_id.
 
-    Rows with null doc_id, and texts without words, stay as they are.
+    Of rows that share a doc_id and a text one stays; with other texts the id is as many documents, which
+    groups decide on one by one (common.row_ids).  Rows with null doc_id, and texts without words, stay as they are.  No rows give no rows;
+    all columns stay, whatever their names.
     """
-    names = docs.columns
-    gone = written(groups(spark, docs).where("not keep").select("doc_id"), "gone")
-    rest = drop_ids(docs, gone)
-    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not again.head(1):
-        return rest
-    name, row = fresh(docs, "__again"), fresh(docs, "__row")
-    # of the rows of an id, the one whose JSON is least stays
-    one = rest.join(again.select(F.col("doc_id").alias(name)), F.col("doc_id") == F.col(name), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in names]), F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))).alias(row))
-    return drop_ids(rest, again).unionByName(one.select(F.col(row + ".*")).select(*[F.col(f"`{c}`") for c in names]))
+    keyed, key, again = row_ids(spark, docs)
+    found = groups(spark, keyed.select(F.col(key).alias("doc_id"), "text"))
+    rest = drop_ids(keyed, written(found.where("not keep").select("doc_id"), "gone"), key, "doc_id")
+    if again is not None:
+        # equal rows of an id: the one whose JSON is least
+        own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        row = fresh(docs, "__row")
+        many = rest.join(again, F.col("doc_id") == F.col(again.columns[0]), "left_semi")
+        one = many.groupBy(key).agg(F.min_by(own, F.to_json(own)).alias(row)).select(F.col(f"{row}.*"))
+        rest = rest.join(again, F.col("doc_id") == F.col(again.columns[0]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -150,7 +150,11 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs that the machine keeps, with all their columns, in one scan and no shuffle."""
+    """The rows of docs that the machine keeps, with all their columns, in one scan and no shuffle.
+
+    As classify: null, empty and wordless texts go, null ids and repeated rows are judged by their texts, each for itself; no rows
+    give no rows, and other columns may have any name.
+    """
     shared, names = docs.sparkSession.sparkContext.broadcast(machine), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -180,16 +180,15 @@ def scan(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int64(), pa.string()]
         for b in batches:
             rows: list[tuple] = []
-            for k, text in enumerate(b.column("text")):
-                text = text.as_py()
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for p in pairs(text):
                     s = score(p.name, p.literal)
                     if s >= min_score:
                         line = text.count("\n", 0, p.at) + 1
-                        rows.append((b.column("doc_id")[k].as_py(), line, p.at, p.name, p.via or None, s, hashlib.sha256(p.literal.encode("utf-8", "replace")).hexdigest(), len(p.literal), p.literal[:4] + "..."))
+                        rows.append((doc, line, p.at, p.name, p.via or None, s, hashlib.sha256(p.literal.encode("utf-8", "replace")).hexdigest(), len(p.literal), p.literal[:4] + "..."))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
-    # a text without an assignment sign next to a name or a quote has no pair: the scan leaves it in the JVM
-    maybe = docs.where(F.col("text").rlike(r"""[\w"'\]]\s*(?:=|:)\s*\S"""))
+    # every assignment sign of the lexer holds one of these: a text without them has no pair, and stays in the JVM
+    maybe = docs.where(F.col("text").contains("=") | F.col("text").contains(":"))
     schema = "doc_id long, line long, position long, name string, via string, score double, literal_sha256 string, literal_length long, masked string"
     return maybe.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
