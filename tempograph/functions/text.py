@@ -28,9 +28,14 @@ def fuzzy_form(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(normalize_key(x), "[^a-z0-9' ]+", " "), " +", " "))
 
 
+def runs(x: Column | str) -> Column:
+    """Letters, digits and _ in runs, as they are."""
+    return F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(f"({TOKEN})"), 1)
+
+
 def tokens(x: Column | str) -> Column:
     """Letters, digits and _ in runs, lower-cased after the cut."""
-    return F.transform(F.regexp_extract_all(F.coalesce(_c(x), F.lit("")), F.lit(f"({TOKEN})"), 1), F.lower)
+    return F.transform(runs(x), F.lower)
 
 
 def query_terms(query: str) -> list[str]:

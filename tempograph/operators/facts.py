@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tempograph.functions.text import normalize_key, tokens
 from tempograph.functions.vector import cosine
+from tempograph.sources.tables import written
 
 
 def build_candidates(raw: DataFrame, entities: DataFrame, allow_self: bool = False) -> DataFrame:
@@ -103,6 +104,11 @@ def candidate_order(candidates: DataFrame) -> DataFrame:
     return candidates.orderBy(F.asc_nulls_last("valid_at"), "pos")
 
 
+def candidate_places(candidates: DataFrame, by: str) -> DataFrame:
+    """candidates with their ``place`` from 0 in candidate_order, for each value of ``by`` on its own."""
+    return candidates.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.asc_nulls_last("valid_at"), "pos")).cast("long") - 1)
+
+
 def mentions_edges(nodes: DataFrame, indices: DataFrame | None, episodes: DataFrame) -> DataFrame:
     """(source_node_uuid, target_node_uuid): each node (uuid) with its episodes (pos, uuid) by indices (uuid, index array).
 
@@ -169,9 +175,28 @@ def _bm25_pairs(pairs: DataFrame, limit: int) -> DataFrame:
     return r.where(F.col("pos") < limit).select("uuid", "candidate", "pos")
 
 
-def _hybrid(pairs: DataFrame, limit: int, min_score: float = 0.6) -> DataFrame:
+def search_each(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+    """(uuid, candidate, pos): for each query (uuid, group_id, q), the best rows (candidate, group_id, t, _seq) of its group by BM25, itself left out.
+
+    A search for each row at once, through postings: queries' terms meet the rows that hold them, so rows without a
+    common term are never paired.  Statistics are of the group's rows.
+    """
+    k1, b = 1.2, 0.75
+    d = rows.select("candidate", "group_id", "_seq", tokens("t").alias("t")).withColumn("n", F.size("t"))
+    d = written(d.select("candidate", "group_id", "_seq", "n", F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("w"), F.size(F.filter("t", lambda y: y == w)).alias("tf"))).alias("p")))
+    stats = d.groupBy("group_id").agg(F.count("*").alias("all"), F.avg("n").alias("avg"))
+    p = d.select("candidate", "group_id", "_seq", "n", F.explode("p").alias("p")).select("candidate", "group_id", "_seq", "n", "p.w", "p.tf")
+    df = p.groupBy("group_id", "w").agg(F.count("*").alias("df"))
+    q = queries.select("uuid", "group_id", F.explode(F.array_distinct(tokens("q"))).alias("w"))
+    x = q.join(df, ["group_id", "w"]).join(stats, "group_id").select("uuid", "group_id", "w", "avg", F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).join(p, ["group_id", "w"]).where("uuid <> candidate")
+    s = x.groupBy("uuid", "candidate", "_seq").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("avg")))).cast("float").alias("score"))
+    r = s.withColumn("pos", F.row_number().over(W.partitionBy("uuid").orderBy(F.desc("score"), "_seq", "candidate")) - 1)
+    return r.where(F.col("pos") < limit).select("uuid", "candidate", "pos")
+
+
+def _hybrid(pairs: DataFrame, limit: int, min_score: float = 0.6, text: DataFrame | None = None) -> DataFrame:
     """(uuid, candidate, pos): BM25 and vector lists of twice the limit, fused by reciprocal rank, for each row."""
-    text = _bm25_pairs(pairs, 2 * limit).withColumn("k", F.lit(0))
+    text = (_bm25_pairs(pairs, 2 * limit) if text is None else text).withColumn("k", F.lit(0))
     v = pairs.where("qv is not null and tv is not null").select("uuid", "candidate", "_seq", cosine("qv", "tv").cast("float").alias("c")).where(F.col("c") > min_score)
     v = v.withColumn("pos", F.row_number().over(W.partitionBy("uuid").orderBy(F.desc("c"), "_seq", "candidate")) - 1).where(F.col("pos") < 2 * limit).select("uuid", "candidate", "pos", F.lit(1).alias("k"))
     f = text.unionByName(v).groupBy("uuid", "candidate").agg(F.sum(1.0 / (F.col("pos") + 1)).cast("float").alias("score"), F.min(F.struct("k", "pos")).alias("seen"))
@@ -191,10 +216,14 @@ def duplicate_candidates(new: DataFrame, facts: DataFrame, limit: int = 10) -> D
 
 
 def invalidation_candidates(new: DataFrame, facts: DataFrame, related: DataFrame, limit: int = 10) -> DataFrame:
-    """(uuid, candidate, pos): for each new fact, facts of its group by hybrid search, without the related ones (uuid, candidate)."""
+    """(uuid, candidate, pos): for each new fact, facts of its group by hybrid search, without the related ones (uuid, candidate).
+
+    Texts meet through postings (search_each), with the statistics of the group's facts; vectors, where both have one, by comparing the new facts with their group.
+    """
     n = new.select("uuid", "group_id", F.col("fact").alias("q"), F.col("fact_embedding").alias("qv"))
     c = facts.select(F.col("uuid").alias("candidate"), "group_id", _candidate_text().alias("t"), F.col("fact_embedding").alias("tv"), "_seq")
-    found = _hybrid(n.join(c, "group_id").where("uuid <> candidate"), limit)
+    near = n.where("qv is not null").drop("q").join(c.where("tv is not null").drop("t"), "group_id").where("uuid <> candidate")
+    found = _hybrid(near, limit, text=search_each(n, c, 2 * limit))
     return found.join(related.select("uuid", "candidate"), ["uuid", "candidate"], "left_anti")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.plans.schema import EDGES, ENDPOINTS, NODES
+from tempograph.sources.tables import written
 
 Tables = dict[str, DataFrame]
 
@@ -103,8 +104,8 @@ def remove_episodes(tables: Tables, ids: DataFrame) -> Tables:
 def repair_sagas(before: Tables, after: Tables, gone: DataFrame) -> Tables:
     """Firsts and lasts of sagas over what is left by (valid_at, created_at, uuid), and bridges over removed episodes.
 
-    A bridge joins each predecessor of a removed episode with each successor, but no episode with itself
-    and no pair that is joined already.  Runs of removed episodes next to each other are bridged one at a time.
+    A bridge joins each episode before a run of removed ones with each after it, but no episode with itself
+    and no pair that is joined already.
     """
     if "saga" in after and "has_episode" in after:
         touched = before["has_episode"].join(gone.select(F.col("uuid").alias("target_node_uuid")), "target_node_uuid", "left_semi").select(F.col("source_node_uuid").alias("uuid")).distinct()
@@ -114,14 +115,29 @@ def repair_sagas(before: Tables, after: Tables, gone: DataFrame) -> Tables:
         s = s.withColumn("first_episode_uuid", F.when(F.col("__t"), F.col("__f")).otherwise(F.col("first_episode_uuid"))).withColumn("last_episode_uuid", F.when(F.col("__t"), F.col("__l")).otherwise(F.col("last_episode_uuid")))
         after = after | {"saga": s.select(*after["saga"].columns)}
     if "next_episode" in after:
-        links = before["next_episode"]
-        for row in sorted(gone.collect()):  # a removal names its episodes; each bridge depends on the one before
-            into = links.where((F.col("target_node_uuid") == row[0]) & (F.col("source_node_uuid") != row[0])).select(F.col("source_node_uuid").alias("a"), "group_id", "created_at", "_seq")
-            outof = links.where((F.col("source_node_uuid") == row[0]) & (F.col("target_node_uuid") != row[0])).select(F.col("target_node_uuid").alias("b"))
-            rest = links.where((F.col("source_node_uuid") != row[0]) & (F.col("target_node_uuid") != row[0]))
-            new = into.crossJoin(outof).where("a <> b").dropDuplicates(["a", "b"])
-            new = new.join(rest.select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b")), ["a", "b"], "left_anti")
-            new = new.select(F.sha2(F.concat_ws("|", F.lit("next"), "a", "b"), 256).alias("uuid"), "group_id", F.col("a").alias("source_node_uuid"), F.col("b").alias("target_node_uuid"), "created_at", "_seq")
-            links = rest.unionByName(new)
+        links = bridged(before["next_episode"], gone)
         after = after | {"next_episode": links}
     return after
+
+
+def bridged(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """next_episode links without the removed episodes (uuid), and with bridges over them.
+
+    Ways through removed episodes are followed by doubling: the number of joins is the logarithm of the longest run.
+    A bridge has the group and time of the link that leads into the run.
+    """
+    out = gone.select(F.col("uuid").alias("r")).distinct()
+    flag = lambda rows, end: rows.join(out.withColumnRenamed("r", end).withColumn(f"{end}_gone", F.lit(True)), end, "left")
+    marked = written(flag(flag(links.select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b"), "group_id", "created_at", "_seq"), "a"), "b"))
+    jump = written(marked.where("a_gone and a <> b").select(F.col("a").alias("r"), "b", "b_gone").distinct())
+    for _ in range(max(1, jump.count()).bit_length()):
+        if not jump.where("b_gone").head(1):
+            break
+        further = jump.where("b_gone").join(jump.select(F.col("r").alias("b"), F.col("b").alias("c"), F.col("b_gone").alias("c_gone")), "b").select("r", F.col("c").alias("b"), F.col("c_gone").alias("b_gone"))
+        jump = written(jump.where("b_gone is null").unionByName(further).distinct())
+    ends = jump.where("b_gone is null").select("r", "b")
+    into = marked.where("a_gone is null and b_gone").select("a", F.col("b").alias("r"), "group_id", "created_at", "_seq")
+    new = into.join(ends, "r").where("a <> b").groupBy("a", "b").agg(F.min(F.struct("_seq", "r", "group_id", "created_at")).alias("x"))
+    rest = links.join(out.withColumnRenamed("r", "source_node_uuid"), "source_node_uuid", "left_anti").join(out.withColumnRenamed("r", "target_node_uuid"), "target_node_uuid", "left_anti").select(*links.columns)
+    new = new.join(rest.select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b")), ["a", "b"], "left_anti")
+    return rest.unionByName(new.select(F.sha2(F.concat_ws("|", F.lit("next"), "a", "b"), 256).alias("uuid"), "x.group_id", F.col("a").alias("source_node_uuid"), F.col("b").alias("target_node_uuid"), "x.created_at", "x._seq").select(*links.columns))

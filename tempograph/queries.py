@@ -220,6 +220,12 @@ def w10_saga_repair(s: SparkSession, d: str) -> DataFrame:
     return writes.repair_sagas(before, writes.delete_nodes(before, "episodic", gone), gone)["saga"].select("uuid", "first_episode_uuid", "last_episode_uuid")
 
 
+@query(f"""SELECT {_k("t", "conv_id")} || '-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS source_node_uuid, {_k("t", "conv_id")} || '-' || lpad(CAST(nxt AS VARCHAR), 4, '0') AS target_node_uuid FROM (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations WHERE turn NOT IN (1, 2)) WHERE nxt IS NOT NULL""")
+def w10_saga_chain(s: SparkSession, d: str) -> DataFrame:
+    gone = src.turns(s, d).where("uuid like '%-0001' or uuid like '%-0002'").select("uuid")
+    return writes.bridged(src.next_episode(s, d), gone).select("source_node_uuid", "target_node_uuid")
+
+
 # --- filters and joins
 
 
@@ -228,13 +234,8 @@ def p2_node_labels(s: SparkSession, d: str) -> DataFrame:
     return filter_nodes(src.entities(s, d), SearchFilters(node_labels=["Entity", "Supplier"])).select("uuid")
 
 
-@query("SELECT uuid FROM fct WHERE FALSE", FCT)
-def p3_endpoint_labels(s: SparkSession, d: str) -> DataFrame:
-    return filter_edges(src.facts(s, d), SearchFilters(node_labels=["Customer"]), None, src.entities(s, d)).select("uuid")
-
-
 @query("SELECT f.uuid FROM fct f JOIN ent a ON f.s = a.uuid JOIN ent b ON f.t = b.uuid", FCT, ENT)
-def p3_endpoint_labels_both(s: SparkSession, d: str) -> DataFrame:
+def p3_endpoint_labels(s: SparkSession, d: str) -> DataFrame:
     return filter_edges(src.facts(s, d), SearchFilters(node_labels=["Entity"]), None, src.entities(s, d)).select("uuid")
 
 
@@ -303,25 +304,42 @@ def k1_top_by_score(s: SparkSession, d: str) -> DataFrame:
     return ranking.top_by_score(r, 100, 1000, strict=True).select("uuid", "score")
 
 
-@query("SELECT uuid, row_number() OVER (ORDER BY valid_at, uuid) - 1 AS place FROM fct WHERE group_id = 'BUILDING' AND t < 'p000000050'", FCT)
+@query("SELECT uuid, row_number() OVER (PARTITION BY t ORDER BY valid_at, uuid) - 1 AS place FROM fct", FCT)
 def k6_invalidation_order(s: SparkSession, d: str) -> DataFrame:
-    c = src.facts(s, d).where("group_id = 'BUILDING' and target_node_uuid < 'p000000050'").withColumn("pos", F.col("uuid"))
-    return facts.candidate_order(c).withColumn("place", F.row_number().over(W.orderBy(F.asc_nulls_last("valid_at"), "pos")).cast("long") - 1).select("uuid", "place")
+    return facts.candidate_places(src.facts(s, d).withColumn("pos", F.col("uuid")), "target_node_uuid").select("uuid", "place")
 
 
-_LISTS = "l AS (SELECT 0 AS k, uuid, row_number() OVER (ORDER BY _seq) - 1 AS pos FROM (SELECT * FROM evt ORDER BY _seq LIMIT 60) UNION ALL SELECT 1, uuid, row_number() OVER (ORDER BY _seq DESC) - 1 FROM (SELECT * FROM evt WHERE _seq < 100 ORDER BY _seq DESC LIMIT 80))"
+def _bm25(rows: str, terms: list[str], k: int | None, name: str = "bm") -> str:
+    """SQL of BM25 over rows (uuid, seq, txt)."""
+    values = ", ".join(f"('{t}')" for t in terms)
+    return f"""{name} AS (WITH d AS (SELECT uuid, seq, {TOK.format("txt")} AS t FROM ({rows})), st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS a FROM d), q AS (SELECT * FROM (VALUES {values}) v(w)),
+ tf AS (SELECT d.uuid, d.seq, q.w, len(list_filter(d.t, lambda x: x = q.w))::DOUBLE AS f, len(d.t)::DOUBLE AS n FROM d, q), df AS (SELECT w, sum((f > 0)::INT)::DOUBLE AS c FROM tf GROUP BY w)
+ SELECT uuid, seq, CAST(sum(ln(1 + (st.n - c + 0.5) / (c + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tf.n / a))) AS FLOAT) AS score FROM tf JOIN df USING (w), st WHERE f > 0 GROUP BY uuid, seq ORDER BY score DESC, seq {f"LIMIT {k}" if k else ""})"""
+
+
+_DOCS = f"SELECT {_k('d', 'doc_id')} AS uuid, doc_id AS seq, coalesce(text, '') || ' text ' || lang || ' ' || source AS txt FROM documents"
+_FACTS = "SELECT uuid, _seq AS seq, name || ' ' || fact || ' ' || group_id AS txt FROM fct"
+_EVENTS = "SELECT uuid, _seq AS seq, content || ' json events ' || group_id AS txt FROM evt"
+_ENTITIES = "SELECT uuid, _seq AS seq, name || ' ' || summary || ' ' || group_id AS txt FROM ent"
+_PLACE = "row_number() OVER (ORDER BY score DESC, seq) - 1"
+_LISTS = f"l AS (SELECT 0 AS k, uuid, score, {_PLACE} AS pos FROM bm UNION ALL SELECT 1, uuid, score, {_PLACE} FROM bm2)"
+_TWO = [_bm25(_DOCS, ["the", "eaueux"], 60), _bm25(_DOCS, ["thering", "src3"], 80, "bm2"), _LISTS]
 
 
 def _two_lists(s: SparkSession, d: str) -> list[DataFrame]:
-    e = src.events(s, d)
-    a = e.orderBy("_seq").limit(60).select("uuid", F.lit(1.0).alias("score"), (F.row_number().over(W.orderBy("_seq")) - 1).alias("pos"))
-    b = e.where("_seq < 100").orderBy(F.desc("_seq")).limit(80).select("uuid", F.lit(0.5).alias("score"), (F.row_number().over(W.orderBy(F.desc("_seq"))) - 1).alias("pos"))
-    return [a, b]
+    """The lists of two searches over all documents."""
+    docs, text = src.documents(s, d), tx.indexed_text("episodic")
+    return [ranking.bm25(docs, text, "the eaueux", 60), ranking.bm25(docs, text, "thering src3", 80)]
 
 
-@query("SELECT uuid, CASE WHEN min(k) = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score, row_number() OVER (ORDER BY min(k * 1000 + pos)) - 1 AS pos FROM l GROUP BY uuid", EVT, _LISTS)
+@query("SELECT uuid, round(max(score)::DOUBLE, 4) AS score, row_number() OVER (ORDER BY min(k * 1000 + pos)) - 1 AS pos FROM l GROUP BY uuid", *_TWO)
 def u1_merge_first_seen(s: SparkSession, d: str) -> DataFrame:
-    return ranking.merge_first_seen(_two_lists(s, d)).select("uuid", F.col("score").cast("double").alias("score"), F.col("pos").cast("long").alias("pos"))
+    return ranking.merge_first_seen(_two_lists(s, d)).select("uuid", _score(), F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT uuid, round(max(score)::DOUBLE, 4) AS score, row_number() OVER (ORDER BY max(score) DESC, min(k * 1000 + pos)) - 1 AS pos FROM l GROUP BY uuid", *_TWO)
+def u2_merge_by_score(s: SparkSession, d: str) -> DataFrame:
+    return ranking.merge_first_seen(_two_lists(s, d), by_score=True).select("uuid", _score(), F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT uuid, CASE WHEN name = 'ORDERED_A' THEN 'changed' ELSE fact END AS fact FROM fct UNION ALL SELECT 'q' || uuid, 'added' FROM fct WHERE name = 'ORDERED_R'", FCT)
@@ -348,18 +366,6 @@ def r1_tokens(s: SparkSession, d: str) -> DataFrame:
     return src.documents(s, d).select(F.col("_seq").alias("doc_id"), tx.tokens("content").alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-def _bm25(rows: str, terms: list[str], k: int | None) -> str:
-    """SQL of BM25 over rows (uuid, seq, txt)."""
-    values = ", ".join(f"('{t}')" for t in terms)
-    return f"""bm AS (WITH d AS (SELECT uuid, seq, {TOK.format("txt")} AS t FROM ({rows})), st AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS a FROM d), q AS (SELECT * FROM (VALUES {values}) v(w)),
- tf AS (SELECT d.uuid, d.seq, q.w, len(list_filter(d.t, lambda x: x = q.w))::DOUBLE AS f, len(d.t)::DOUBLE AS n FROM d, q), df AS (SELECT w, sum((f > 0)::INT)::DOUBLE AS c FROM tf GROUP BY w)
- SELECT uuid, seq, CAST(sum(ln(1 + (st.n - c + 0.5) / (c + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * tf.n / a))) AS FLOAT) AS score FROM tf JOIN df USING (w), st WHERE f > 0 GROUP BY uuid, seq ORDER BY score DESC, seq {f"LIMIT {k}" if k else ""})"""
-
-
-_DOCS = f"SELECT {_k('d', 'doc_id')} AS uuid, doc_id AS seq, coalesce(text, '') || ' text ' || lang || ' ' || source AS txt FROM documents"
-_FACTS = "SELECT uuid, _seq AS seq, name || ' ' || fact || ' ' || group_id AS txt FROM fct"
-
-
 @query("SELECT uuid, round(score::DOUBLE, 4) AS score FROM bm", _bm25(_DOCS, ["the", "que", "src3"], None))
 def r2_bm25_documents(s: SparkSession, d: str) -> DataFrame:
     return ranking.bm25_scores(src.documents(s, d), tx.indexed_text("episodic"), "The que src3 THE").select("uuid", _score())
@@ -396,8 +402,12 @@ def r8_knn(s: SparkSession, d: str) -> DataFrame:
 # --- traversal and rerankers
 
 
+_ORIGINS = ["error", "87", "13"]
+
+
 def _event_origins(s: SparkSession, d: str) -> DataFrame:
-    return src.events(s, d).where("_seq < 25").select("uuid", F.col("_seq").alias("pos"))
+    """The 25 best events of a search."""
+    return ranking.bm25(src.events(s, d), tx.indexed_text("episodic"), " ".join(_ORIGINS), 25).select("uuid", "pos")
 
 
 def _one_group(s: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -405,13 +415,13 @@ def _one_group(s: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"entity": src.entities(s, d).withColumn("group_id", one), "episodic": src.events(s, d).withColumn("group_id", one), "mentions": src.mentions(s, d), "entity_edge": src.facts(s, d)}
 
 
-@query("SELECT uuid, round(1.0 / min(depth), 4)::DOUBLE AS score FROM (SELECT entity AS uuid, 1 AS depth FROM evt WHERE _seq < 25 UNION ALL SELECT t, 2 FROM fct WHERE s IN (SELECT entity FROM evt WHERE _seq < 25)) GROUP BY uuid", EVT, FCT)
+@query("SELECT uuid, round(1.0 / min(depth), 4)::DOUBLE AS score FROM (SELECT entity AS uuid, 1 AS depth FROM evt WHERE uuid IN (SELECT uuid FROM bm) UNION ALL SELECT t, 2 FROM fct WHERE s IN (SELECT entity FROM evt WHERE uuid IN (SELECT uuid FROM bm))) GROUP BY uuid", EVT, FCT, _bm25(_EVENTS, _ORIGINS, 25))
 def g2_bfs_nodes(s: SparkSession, d: str) -> DataFrame:
     g = _one_group(s, d)
     return traversal.node_hits(_event_origins(s, d), g["entity"], g["episodic"], g["mentions"], g["entity_edge"], 3, None).select("uuid", _score())
 
 
-@query("SELECT uuid, 0.5::DOUBLE AS score FROM fct WHERE s IN (SELECT entity FROM evt WHERE _seq < 25)", EVT, FCT)
+@query("SELECT uuid, 0.5::DOUBLE AS score FROM fct WHERE s IN (SELECT entity FROM evt WHERE uuid IN (SELECT uuid FROM bm))", EVT, FCT, _bm25(_EVENTS, _ORIGINS, 25))
 def g3_bfs_facts(s: SparkSession, d: str) -> DataFrame:
     g = _one_group(s, d)
     return traversal.fact_hits(_event_origins(s, d), g["entity"], g["episodic"], g["mentions"], g["entity_edge"], 2, None).select("uuid", _score())
@@ -420,25 +430,25 @@ def g3_bfs_facts(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT uuid, CASE WHEN uuid = 'p000000001' THEN 10.0 WHEN uuid IN (SELECT s FROM fct WHERE t = 'p000000001') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM ent", FCT, ENT)
 def g6_node_distance(s: SparkSession, d: str) -> DataFrame:
     c = src.entities(s, d).select("uuid", F.col("_seq").alias("pos"))
-    return ranking.node_distance(c, src.facts(s, d), "p000000001").select("uuid", F.col("score").cast("double").alias("score"))
+    return ranking.node_distance(c, src.facts(s, d), "p000000001", bounded=False).select("uuid", F.col("score").cast("double").alias("score"))
 
 
 @query("SELECT e.uuid, coalesce(n, 'inf'::DOUBLE)::VARCHAR AS score, row_number() OVER (ORDER BY coalesce(n, 'inf'::DOUBLE), _seq) - 1 AS pos FROM ent e LEFT JOIN (SELECT entity, count(*)::DOUBLE AS n FROM evt GROUP BY entity) m ON e.uuid = m.entity", ENT, EVT)
 def g7_episode_mentions(s: SparkSession, d: str) -> DataFrame:
     c = src.entities(s, d).select("uuid", F.col("_seq").alias("pos"))
-    r = ranking.episode_mentions(c, src.mentions(s, d))
+    r = ranking.episode_mentions(c, src.mentions(s, d), bounded=False)
     return r.select("uuid", F.when(F.col("score") == float("inf"), "inf").otherwise(F.col("score").cast("double").cast("string")).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
-@query("SELECT uuid, round(CAST(sum(1.0::DOUBLE / (pos + 1)) AS FLOAT)::DOUBLE, 4) AS score, row_number() OVER (ORDER BY CAST(sum(1.0::DOUBLE / (pos + 1)) AS FLOAT) DESC, min(k * 1000 + pos)) - 1 AS pos FROM l GROUP BY uuid", EVT, _LISTS)
+@query("SELECT uuid, round(CAST(sum(1.0::DOUBLE / (pos + 1)) AS FLOAT)::DOUBLE, 4) AS score, row_number() OVER (ORDER BY CAST(sum(1.0::DOUBLE / (pos + 1)) AS FLOAT) DESC, min(k * 1000 + pos)) - 1 AS pos FROM l GROUP BY uuid", *_TWO)
 def f1_rrf(s: SparkSession, d: str) -> DataFrame:
     return ranking.rrf(_two_lists(s, d)).select("uuid", _score(), F.col("pos").cast("long").alias("pos"))
 
 
-@query("""SELECT uuid, round(score::DOUBLE, 3) + 0.0 AS score FROM (SELECT a.uuid, CAST(0.5 * list_dot_product(a.v, q.q) - 0.5 * greatest(0, max(list_dot_product(a.v, b.v))) AS FLOAT) AS score FROM n a JOIN n b ON a.uuid <> b.uuid, (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0) q GROUP BY a.uuid, a.v, q.q) WHERE score >= -2""", "n AS (SELECT uuid, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS v FROM (SELECT 'e' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS uuid, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings WHERE vec_id < 60))")
+@query("""SELECT uuid, round(score::DOUBLE, 3) + 0.0 AS score FROM (SELECT a.uuid, CAST(0.5 * list_dot_product(a.v, q.q) - 0.5 * greatest(0, max(list_dot_product(a.v, b.v))) AS FLOAT) AS score FROM n a JOIN n b ON a.uuid <> b.uuid, (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0) q GROUP BY a.uuid, a.v, q.q) WHERE score >= -2""", _COS, "n AS (SELECT uuid, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS v FROM (SELECT 'e' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS uuid, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings JOIN (SELECT seq FROM cs ORDER BY CAST(c AS FLOAT) DESC, seq LIMIT 60) ON vec_id = seq))")
 def f2_mmr(s: SparkSession, d: str) -> DataFrame:
     v = src.vectors(s, d)
-    c = v.where("_seq < 60").select("uuid", F.col("_seq").alias("pos"))
+    c = ranking.knn(v, "name_embedding", _first_vector(s, d), 60, -2.0)
     return ranking.mmr(c, v, "name_embedding", _first_vector(s, d), 60, 0.5, -2.0).select("uuid", (F.round(F.col("score").cast("double"), 3) + 0.0).alias("score"))
 
 
@@ -457,16 +467,51 @@ def q1_fact_search(s: SparkSession, d: str) -> DataFrame:
     return plan.search_facts(t, "large rod", plan.Scope([SearchMethod.BM25])).select("uuid", _score())
 
 
-@query()
+_WALKED = f"""r AS (SELECT uuid, {_PLACE} AS pos FROM bm), o AS (SELECT s, min(pos) AS pos FROM r JOIN fct USING (uuid) GROUP BY s), w AS (SELECT fct.uuid, row_number() OVER (ORDER BY o.pos, fct.uuid) - 1 AS pos FROM fct JOIN o USING (s) ORDER BY o.pos, fct.uuid LIMIT 20),
+ u AS (SELECT uuid, CAST(sum(1.0::DOUBLE / (pos + 1)) AS FLOAT) AS score, min(k * 1000 + pos) AS seen FROM (SELECT 0 AS k, * FROM r UNION ALL SELECT 1, * FROM w) GROUP BY uuid ORDER BY score DESC, seen LIMIT 20),
+ c AS (SELECT fact, arg_max(uuid, pos) AS uuid, min(pos) AS pos FROM (SELECT uuid, row_number() OVER (ORDER BY score DESC, seen) - 1 AS pos FROM u) JOIN fct USING (uuid) GROUP BY fact),
+ x AS (SELECT uuid, pos, {TOK.format("fact")} AS t FROM c), y AS (SELECT uuid, pos, t, list_filter(t, lambda z: z IN ('large', 'rod')) AS h FROM x), z AS (SELECT uuid, pos, CAST((len(h) + len(list_distinct(h))) / (len(t) + 2.0)::DOUBLE AS FLOAT) AS score FROM y)"""
+
+
+@query("SELECT uuid, round(score::DOUBLE, 4) AS score, row_number() OVER (ORDER BY score DESC, pos) - 1 AS pos FROM z ORDER BY score DESC, z.pos LIMIT 10", FCT, _bm25(_FACTS, ["large", "rod"], 20), _WALKED)
 def q1_fact_search_bfs_cross_encoder(s: SparkSession, d: str) -> DataFrame:
     t = src.graph(s, d)
-    return plan.search_facts(t, "large rod", plan.Scope([SearchMethod.BM25, SearchMethod.BFS], Reranker.CROSS_ENCODER)).select("uuid", _score(), "pos")
+    return plan.search_facts(t, "large rod", plan.Scope([SearchMethod.BM25, SearchMethod.BFS], Reranker.CROSS_ENCODER)).select("uuid", _score(), F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+_NAMED = "SELECT 'e' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS uuid, vec_id AS seq, 'vector ' || vec_id || '  label' || label AS txt FROM embeddings"
+_WORDS = ["vector", "17", "label3"]
+
+
+def _hybrid(reranker: Reranker, **more: float) -> plan.Scope:
+    return plan.Scope([SearchMethod.BM25, SearchMethod.COSINE], reranker, sim_min_score=0.1, **more)
+
+
+#: Text and vector lists of twice the limit over the embeddings as entities.
+_BOTH = [_bm25(_NAMED, _WORDS, 20), "cs AS (SELECT 'e' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS uuid, vec_id AS seq, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), (SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 0)) AS c FROM embeddings)",
+         f"l AS (SELECT 0 AS k, uuid, score, {_PLACE} AS pos FROM bm UNION ALL SELECT 1, uuid, score, {_PLACE} FROM (SELECT uuid, seq, CAST(c AS FLOAT) AS score FROM cs WHERE c > 0.1 ORDER BY CAST(c AS FLOAT) DESC, seq LIMIT 20))"]
+
+
+@query("SELECT uuid, round(score::DOUBLE, 4) AS score, row_number() OVER (ORDER BY score DESC, seen) - 1 AS pos FROM (SELECT uuid, CAST(sum(1.0::DOUBLE / (pos + 1)) AS FLOAT) AS score, min(k * 1000 + pos) AS seen FROM l GROUP BY uuid) ORDER BY score DESC, seen LIMIT 10", *_BOTH)
+def q2_hybrid_nodes_rrf(s: SparkSession, d: str) -> DataFrame:
+    r = plan.search_nodes({"entity": src.vectors(s, d)}, " ".join(_WORDS), _hybrid(Reranker.RRF), 10, _first_vector(s, d))
+    return r.select("uuid", _score(), F.col("pos").cast("long").alias("pos"))
+
+
+_SCALED = "n AS (SELECT uuid, seen, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) AS v FROM (SELECT m.uuid, seen, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM (SELECT uuid, min(k * 1000 + pos) AS seen FROM l GROUP BY uuid) m JOIN embeddings ON m.uuid = 'e' || lpad(CAST(vec_id AS VARCHAR), 9, '0')))"
+
+
+@query("""SELECT uuid, round(score::DOUBLE, 3) + 0.0 AS score FROM (SELECT a.uuid, a.seen, CAST(0.5 * list_dot_product(a.v, q.q) - 0.5 * greatest(0, max(list_dot_product(a.v, b.v))) AS FLOAT) AS score FROM n a JOIN n b ON a.uuid <> b.uuid, (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0) q GROUP BY a.uuid, a.seen, a.v, q.q) ORDER BY score DESC, seen LIMIT 10""", *_BOTH, _SCALED)
+def q2_hybrid_nodes_mmr(s: SparkSession, d: str) -> DataFrame:
+    r = plan.search_nodes({"entity": src.vectors(s, d)}, " ".join(_WORDS), _hybrid(Reranker.MMR), 10, _first_vector(s, d), min_score=-9.0)
+    return r.select("uuid", (F.round(F.col("score").cast("double"), 3) + 0.0).alias("score"))
+
+
+@query("SELECT uuid, coalesce(n::DOUBLE, 'inf'::DOUBLE)::VARCHAR AS score, pos FROM (SELECT uuid, n, row_number() OVER (ORDER BY coalesce(n, 1e300), p) - 1 AS pos FROM (SELECT bm.uuid, n, row_number() OVER (ORDER BY score DESC, seq) AS p FROM bm LEFT JOIN (SELECT entity, count(*) AS n FROM evt GROUP BY entity) m ON bm.uuid = m.entity)) WHERE pos < 10", ENT, EVT, _bm25(_ENTITIES, ["nation", "3", "household"], 20))
 def q2_node_search_mentions(s: SparkSession, d: str) -> DataFrame:
     t = src.graph(s, d)
-    return plan.search_nodes(t, "customer household", plan.Scope([SearchMethod.BM25], Reranker.EPISODE_MENTIONS)).select("uuid", F.col("score").cast("string").alias("score"), "pos")
+    r = plan.search_nodes(t, "nation 3 household", plan.Scope([SearchMethod.BM25], Reranker.EPISODE_MENTIONS))
+    return r.select("uuid", F.when(F.col("score") == float("inf"), "inf").otherwise(F.col("score").cast("double").cast("string")).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT uuid, round(CAST(1.0::DOUBLE / row_number() OVER (ORDER BY score DESC, seq) AS FLOAT)::DOUBLE, 4) AS score FROM bm ORDER BY 2 DESC LIMIT 10", _bm25(_DOCS, ["eaueux", "thering", "the"], 20))
@@ -512,30 +557,16 @@ def _names(s: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = "nm AS (SELECT uuid, name || ' ' || summary AS name, _seq FROM ent WHERE l = 'Part')"
-_SHAPE = "sh AS (SELECT name, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) AS t FROM (SELECT name, replace(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' ', '') AS n FROM (SELECT DISTINCT name FROM nm)))"
 
 
-@query("SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS j FROM sh a JOIN sh b ON a.name < b.name AND len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) >= 0.8 WHERE length(a.name) >= 15 AND length(b.name) >= 15 AND substr(a.name, 1, 4) = substr(b.name, 1, 4)", ENT, _NAMES, _SHAPE)
-def d6_jaccard(s: SparkSession, d: str) -> DataFrame:
-    n = _names(s, d).select("name").distinct().where("length(name) >= 15").withColumn("t", tx.shingles(tx.fuzzy_form("name"))).withColumn("head", F.substring("name", 1, 4))
-    j = n.select(F.col("name").alias("a"), "t", "head").join(n.select(F.col("name").alias("b"), F.col("t").alias("u"), "head"), "head").where("a < b")
-    return j.select("a", "b", tx.jaccard("t", "u").alias("j")).where("j >= 0.8").withColumn("j", F.round("j", 6))
+_ALL_SHAPES = "sh AS (SELECT name, unnest(t) AS x, len(t) AS n FROM (SELECT name, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) AS t FROM (SELECT name, replace(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' ', '') AS n FROM (SELECT DISTINCT name || ' ' || summary AS name FROM ent))))"
 
 
-@query()
-def d6_jaccard_all(s: SparkSession, d: str) -> DataFrame:
-    """All pairs of distinct names with Jaccard 0.8 or more, of all entities and whatever their first letters.
-
-    Sets that similar share one of their rarest n - ceil(0.8 n) + 1 shingles, so none is missed.
-    """
-    e = src.entities(s, d).select(F.concat_ws(" ", "name", "summary").alias("name")).distinct()
-    n = src.written(e.withColumn("t", tx.shingles(tx.fuzzy_form("name"))))
-    x = n.select("name", F.size("t").alias("n"), F.explode(F.array_distinct("t")).alias("x"))
-    x = x.join(x.groupBy("x").agg(F.count("*").alias("df")), "x").withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("df", "x")))
-    x = src.written(x.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * 0.8 - 1e-9) + 1).select("name", "x"))
-    c = x.select(F.col("name").alias("a"), "x").join(x.select(F.col("name").alias("b"), "x"), "x").where("a < b").select("a", "b").distinct()
-    j = c.join(n.select(F.col("name").alias("a"), "t"), "a").join(n.select(F.col("name").alias("b"), F.col("t").alias("u")), "b")
-    return j.select("a", "b", tx.jaccard("t", "u").alias("j")).where("j >= 0.8").withColumn("j", F.round("j", 6))
+@query("SELECT a, b, round(c::DOUBLE / (m + n - c), 6) AS j FROM (SELECT p.name AS a, q.name AS b, count(*) AS c, any_value(p.n) AS m, any_value(q.n) AS n FROM sh p JOIN sh q ON p.x = q.x AND p.name < q.name GROUP BY p.name, q.name) WHERE c::DOUBLE / (m + n - c) >= 0.8", ENT, _ALL_SHAPES)
+def d6_jaccard(s: SparkSession, d: str) -> DataFrame:
+    """All pairs of distinct names with a Jaccard of 0.8 or more."""
+    e = src.entities(s, d).select(F.concat_ws(" ", "name", "summary").alias("id"), F.lit("").alias("g")).distinct()
+    return resolve.similar_sets(e.withColumn("t", tx.shingles(tx.fuzzy_form("id"))), 0.8).withColumn("j", F.round("j", 6))
 
 
 @query("SELECT 'x' || uuid AS uuid, CASE WHEN n = 1 THEN m END AS match, CASE WHEN n = 1 THEN 'exact' ELSE 'ambiguous' END AS how FROM nm JOIN (SELECT name, count(*) AS n, min(uuid) AS m FROM nm GROUP BY name) c USING (name)", ENT, _NAMES)
@@ -544,7 +575,12 @@ def d7_resolve_exact(s: SparkSession, d: str) -> DataFrame:
     return resolve.resolve(n.withColumn("uuid", F.concat(F.lit("x"), "uuid")).withColumn("name", F.upper(F.concat(F.lit("  "), "name"))), n)
 
 
-@query()
+_FORM = "replace(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' ', '')"
+_SETS = "SELECT uuid, _seq, unnest(t) AS x, len(t) AS n FROM (SELECT uuid, _seq, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) AS t FROM (SELECT uuid, _seq, {} AS n FROM one))"
+
+
+@query("""SELECT 'x' || o.uuid AS uuid, m AS match, CASE WHEN m IS NULL THEN 'new' ELSE 'fuzzy' END AS how FROM one o LEFT JOIN (SELECT a, arg_max(b, (j, -seq)) AS m FROM (SELECT p.uuid AS a, q.uuid AS b, any_value(q._seq) AS seq, count(*)::DOUBLE / (any_value(p.n) + any_value(q.n) - count(*)) AS j FROM left_sets p JOIN right_sets q ON p.x = q.x GROUP BY p.uuid, q.uuid) WHERE j >= 0.9 GROUP BY a) ON o.uuid = a""",
+       ENT, _NAMES, "one AS (SELECT name, min(uuid) AS uuid, min(_seq) AS _seq FROM nm GROUP BY name)", f"left_sets AS ({_SETS.format(_FORM.format("name || '!s'"))})", f"right_sets AS ({_SETS.format(_FORM.format('name'))})")
 def d7_resolve_fuzzy(s: SparkSession, d: str) -> DataFrame:
     n = resolve.collapse(_names(s, d))
     return resolve.resolve(n.withColumn("uuid", F.concat(F.lit("x"), "uuid")).withColumn("name", F.concat("name", F.lit("!s"))), n)
@@ -556,11 +592,6 @@ def d8_candidates(s: SparkSession, d: str) -> DataFrame:
     return resolve.candidates(v, v).select("uuid", "candidate", _score())
 
 
-@query("SELECT uuid, first_value(uuid) OVER (PARTITION BY name ORDER BY _seq) AS canonical FROM ent WHERE l = 'Part' AND FALSE", ENT)
-def d11_empty_bulk(s: SparkSession, d: str) -> DataFrame:
-    return resolve.canonicalize_bulk(src.entities(s, d).where("labels[1] = 'Part' and false"))
-
-
 @query()
 def d11_bulk(s: SparkSession, d: str) -> DataFrame:
     return resolve.canonicalize_bulk(src.entities(s, d))
@@ -679,7 +710,7 @@ def x3_chunk_documents(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def x5_cover_pairs(s: SparkSession, d: str) -> DataFrame:
-    return chunking.cover_table(src.entities(s, d).where("labels[1] = 'Supplier'").withColumn("n", F.col("summary")), "n", "uuid", 3)
+    return chunking.cover_table(src.entities(s, d).withColumn("n", F.col("summary")), "n", "uuid", 3)
 
 
 @query("SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS cleaned FROM documents")
@@ -719,11 +750,18 @@ def e3_duplicate_candidates(s: SparkSession, d: str) -> DataFrame:
     return facts.duplicate_candidates(f, f, 100).groupBy("uuid").agg(F.count("*").alias("n"))
 
 
-@query()
+_POSTINGS = f"""d AS (SELECT uuid, group_id, _seq, s, t AS target, {TOK.format("name || ' ' || fact || ' ' || group_id")} AS t, {TOK.format("fact")} AS q FROM fct), st AS (SELECT group_id, count(*)::DOUBLE AS n, avg(len(t)) AS a FROM d GROUP BY group_id),
+ p AS (SELECT uuid, group_id, _seq, w, any_value(n) AS n, count(*)::DOUBLE AS tf FROM (SELECT uuid, group_id, _seq, len(t) AS n, unnest(t) AS w FROM d) GROUP BY uuid, group_id, _seq, w), df AS (SELECT group_id, w, count(*)::DOUBLE AS c FROM p GROUP BY group_id, w),
+ q AS (SELECT DISTINCT uuid, group_id, unnest(q) AS w FROM d WHERE (_seq // 10) % 100 = 0),
+ hits AS (SELECT q.uuid, p.uuid AS candidate, p._seq, CAST(sum(ln(1 + (st.n - c + 0.5) / (c + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * p.n / a))) AS FLOAT) AS score FROM q JOIN df USING (group_id, w) JOIN st USING (group_id) JOIN p USING (group_id, w) WHERE q.uuid <> p.uuid GROUP BY q.uuid, p.uuid, p._seq)"""
+
+
+@query("""SELECT uuid, candidate, pos FROM (SELECT uuid, candidate, row_number() OVER (PARTITION BY uuid ORDER BY score DESC, _seq, candidate) - 1 AS pos FROM hits) h WHERE pos < 10 AND NOT EXISTS (SELECT 1 FROM d a JOIN d b ON a.s = b.s AND a.target = b.target WHERE a.uuid = h.uuid AND b.uuid = h.candidate)""", FCT, _POSTINGS)
 def e4_invalidation_candidates(s: SparkSession, d: str) -> DataFrame:
+    """As queries, the facts of orders whose key is divisible by 100; against all facts of their groups."""
     f = src.facts(s, d)
-    new = f.where("valid_at >= timestamp_ntz'2000-12-30 00:00:00'")
-    return facts.invalidation_candidates(new.where("group_id = 'BUILDING'"), f.withColumn("group_id", F.when(F.col("source_node_uuid") < "c000000010", F.col("group_id"))), facts.duplicate_candidates(new, f))
+    new = f.where("floor(_seq / 10) % 100 = 0")
+    return facts.invalidation_candidates(new, f, facts.duplicate_candidates(new, f)).select("uuid", "candidate", F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}') AS key, doc_id FROM documents")

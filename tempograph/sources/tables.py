@@ -15,15 +15,30 @@ Tables = dict[str, DataFrame]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder (spark.checkpoint.dir; a temporary one only where none is set), read again: lineage is cut."""
+    """df as a Parquet table in the application's part of the shared folder (spark.checkpoint.dir), read again: lineage is cut.
+
+    Where no folder is set, a temporary one in local mode, as in tests; on a cluster that is an error.
+    """
     spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tempograph-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, once its results are stored elsewhere."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def empty(spark: SparkSession) -> Tables:
@@ -41,7 +56,7 @@ def load(spark: SparkSession, path: str, fmt: str = "parquet") -> Tables:
 
 
 def store(tables: Tables, path: str, fmt: str = "parquet") -> None:
-    """Each table under its own folder, clustered by group so that a group's rows are together."""
+    """Each table under its own folder, which must not be one that the tables are read from."""
     for k, t in tables.items():
         t.write.format(fmt).mode("overwrite").save(f"{path}/{k}")
 

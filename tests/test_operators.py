@@ -59,6 +59,44 @@ def test_overlap_and_bm25(spark):
     assert rk.bm25(b, F.col("t"), " !", 5).count() == 0
 
 
+def test_places_of_a_long_list(spark):
+    rows = [(f"u{i:05d}", float(i * 7919 % 1000), i) for i in range(3000)]
+    d = spark.createDataFrame(rows, "uuid string, score float, pos int").repartition(7)
+    got = {r.uuid: r.pos for r in rk.placed(d, F.desc("score"), F.asc("pos")).collect()}
+    assert got == {u: k for k, (u, _, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[2])))}
+    assert rk.placed(d.limit(0), F.desc("score")).count() == 0
+
+
+def test_a_model_as_cross_encoder(spark):
+    d = spark.createDataFrame([("a", "one two"), ("b", "three"), ("c", "one two"), ("d", "bad"), ("e", None)], "uuid string, fact string")
+    score = {"one two": 0.25, "three": 7.0, "bad": float("nan"), "": None}
+    got = pairs(rk.cross_encode(ranked(spark, "abcde"), d, "fact", "q", 9, 0.0, lambda q, ps: [score[p] for p in ps]))
+    assert got == [("b", 1.0), ("c", 0.25), ("d", 0.0), ("e", 0.0)]
+    with pytest.raises(Exception, match="scores for"):
+        rk.cross_encode(ranked(spark, "abc"), d, "fact", "q", 9, 0.0, lambda q, ps: []).collect()
+
+
+def test_search_for_each_row(spark):
+    rows = [("1", "g", "red rod large", 0), ("2", "g", "red box", 1), ("3", "g", "blue box", 2), ("4", "h", "red rod", 3)]
+    d = spark.createDataFrame(rows, "candidate string, group_id string, t string, _seq long")
+    q = spark.createDataFrame([("x", "g", "red rod"), ("2", "g", "red box red"), ("y", "h", "nothing here"), ("z", "i", "red")], "uuid string, group_id string, q string")
+    got = {(r.uuid, r.candidate): r.pos for r in fx.search_each(q, d, 2).collect()}
+    assert got == {("x", "1"): 0, ("x", "2"): 1, ("2", "3"): 0, ("2", "1"): 1}
+    one = rk.bm25(d.where("group_id = 'g'").withColumnRenamed("candidate", "uuid"), F.col("t"), "red rod", 5)
+    assert [u for u, _ in pairs(one)] == ["1", "2"]
+
+
+def test_similar_sets_are_those_of_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f"i{k}", r.choice("gh"), [f"s{r.randrange(9)}" for _ in range(r.randrange(8))]) for k in range(150)]
+    for threshold in (0.5, 0.8, 1.0):
+        got = {(x.a, x.b) for x in resolve.similar_sets(spark.createDataFrame(rows, "id string, g string, t array<string>"), threshold).collect()}
+        want = {(min(a, b), max(a, b)) for i, (a, g, s) in enumerate(rows) for b, h, t in rows[i + 1 :] if g == h and s and t and len({*s} & {*t}) >= threshold * len({*s} | {*t}) - 1e-12}
+        assert got == want and want
+
+
 def test_knn(spark):
     v = entity(spark, [("a", "a", "g", ["Entity"], [1.0, 0.0]), ("b", "b", "g", ["Entity"], [0.6, 0.8]), ("c", "c", "g", ["Entity"], [0.0, 0.0]), ("d", "d", "g", ["Entity"], None)])
     assert pairs(rk.knn(v, "name_embedding", [1.0, 0.0], 5, 0.6)) == [("a", 1.0), ("b", 0.6)] or pairs(rk.knn(v, "name_embedding", [1.0, 0.0], 5, 0.6)) == [("a", 1.0)]
@@ -249,3 +287,12 @@ def test_saga_repair(spark):
     gone = spark.createDataFrame([("b",), ("c",)], "uuid string")
     after = writes.repair_sagas({"next_episode": n}, {"next_episode": n}, gone)["next_episode"].collect()
     assert [(r.source_node_uuid, r.target_node_uuid) for r in after] == [("a", "d")]
+
+
+def test_bridges_over_branches_and_circles(spark):
+    links = [("a", "r"), ("r", "s"), ("s", "b"), ("r", "c"), ("a", "c"), ("s", "r"), ("d", "t"), ("t", "d"), ("e", "t"), ("x", "y"), ("s", "s")]
+    n = spark.createDataFrame([(f"n{i}", "g", a, b, T0, i) for i, (a, b) in enumerate(links)], sc.SCHEMAS["next_episode"])
+    gone = spark.createDataFrame([(u,) for u in "rst"], "uuid string")
+    got = sorted((r.source_node_uuid, r.target_node_uuid) for r in writes.bridged(n, gone).collect())
+    assert got == [("a", "b"), ("a", "c"), ("e", "d"), ("x", "y")]
+    assert writes.bridged(n, gone.limit(0)).count() == len(links)
