@@ -491,7 +491,7 @@ def _line_groups(texts):
     short = {frozenset(v) for k, v in where.items() if len(k.split(" ")) < lines.MIN_WORDS and len(v) > 1}
     w = Words.of(pa.array(keys))
     assert len(Lines(w).doc) == len(keys)
-    s = simhash(w.hash, weight_of(w.end - w.start) + 0.05, w.doc, len(keys), 1)[:, 0]
+    s = simhash(w.hash, weight_of(w.end - w.start) + 0.05, w.doc, len(keys), 2)
     parent = list(range(len(keys)))
 
     def root(i):
@@ -500,7 +500,7 @@ def _line_groups(texts):
         return i
 
     for i in range(len(keys)):
-        for j in np.flatnonzero(np.bitwise_count(s[i + 1 :] ^ s[i]) <= lines.RADIUS) + i + 1:
+        for j in np.flatnonzero(np.bitwise_count(s[i + 1 :] ^ s[i]).sum(axis=1) <= lines.RADIUS) + i + 1:
             a, b = keys[i], keys[j]
             most = int((1 - lines.SIMILARITY) * max(len(a), len(b)) + 1e-9)
             if abs(len(a) - len(b)) <= most and lines.edits(a, b, most) <= most:
