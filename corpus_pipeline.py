@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: of each group of near-equal lines one occurrence stays; documents of which under lines.MIN_LEFT is left go (lines.drop_lines).
+    """Line dedup: of each group of near-equal lines one occurrence stays; documents that have lines.COPIED or more of their words in one other go (lines.drop_lines).
 
     Null and empty texts, and rows with null ids, stay as they are; equal rows of an id lose the same lines; no rows give no rows.
     """

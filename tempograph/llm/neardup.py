@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from tempograph.llm.common import cell_pairs, classes, components, drop_ids, fresh, row_ids, written
 from tempograph.llm.textkernel import Words, chunks, simhash, weight_of
 
-TABLES = 6  # independent fingerprints of 32 bits
+TABLES = 8  # independent fingerprints of 32 bits
 SEGMENTS = 16  # of 2 bits each
 RADIUS = 2  # differing bits of a 32-bit fingerprint
-AGREE = 36  # differing bits of all 192, up to which a pair is linked
+AGREE = 48  # differing bits of all 256, up to which a pair is linked
 
-_WORDS = ["f0", "f1", "f2"]
+_WORDS = ["f0", "f1", "f2", "f3"]
 
 
 def popcounts(x: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, f0, f1, f2): 192-bit SimHash of the words of each text, weighted by length; texts without words or ids left out."""
+    """(doc_id, f0, f1, f2, f3): 256-bit SimHash of the words of each text, weighted by length; texts without words or ids left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             f = simhash(w.hash, weight_of(w.end - w.start), w.doc, b.num_rows, len(_WORDS)).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(f[:, k].copy()) for k in range(len(_WORDS))]], ["doc_id", *_WORDS]).filter(pa.array(np.diff(w.first) > 0))
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
 def _lanes(b: pa.RecordBatch) -> list[np.ndarray]:
@@ -108,7 +108,7 @@ def linked(pairs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame, **split: int) -> DataFrame:
-    """(a, b, distance), a < b: links between rows (id, f0, f1, f2) that connect all that links do.
+    """(a, b, distance), a < b: links between rows (id, f0, f1, f2, f3) that connect all that links do.
 
     The Manhattan distance of segment popcounts never exceeds the Hamming distance, so that the grid join
     misses no pair within RADIUS.  Pairs that are of one class by the links to the least id of their
@@ -124,8 +124,8 @@ def links(prints: DataFrame, **split: int) -> DataFrame:
 def groups(spark: SparkSession, docs: DataFrame, **split: int) -> DataFrame:
     """SimHash near-duplicate groups: (doc_id, group_id, keep), a row for each document of a group of two or more.
 
-    Documents are linked when one of their six 32-bit fingerprints differs in at most RADIUS bits and all
-    192 bits in at most AGREE; groups are the connected components, ``group_id`` their least doc_id, and
+    Documents are linked when one of their eight 32-bit fingerprints differs in at most RADIUS bits and all
+    256 bits in at most AGREE; groups are the connected components, ``group_id`` their least doc_id, and
     ``keep`` holds for that document alone.  Equal fingerprints are collapsed before the search, so
     thousands of copies cost one row.  Words are runs of ASCII letters, digits, _ and non-ASCII characters, in lower case
     (textkernel).  Null or empty texts, and texts without a word, are near nothing;

@@ -367,8 +367,8 @@ def test_a_grammar_of_assignments_is_found(made, between):
 
 
 def _brute_links(prints):
-    """All pairs (a, b) of prints (id, f0, f1, f2) that are links, by comparing all."""
-    f = np.array([[x.f0, x.f1, x.f2] for x in prints], dtype=np.int64).view(np.uint64)
+    """All pairs (a, b) of prints (id, f0, f1, f2, f3) that are links, by comparing all."""
+    f = np.array([[x.f0, x.f1, x.f2, x.f3] for x in prints], dtype=np.int64).view(np.uint64)
     lanes = np.stack([((f[:, t // 2] >> np.uint64(32 * (t % 2))) & np.uint64(0xFFFFFFFF)) for t in range(neardup.TABLES)])
     out = set()
     for i in range(len(prints)):
@@ -394,7 +394,7 @@ def _roots(edges):
 
 
 def test_near_duplicate_links_connect_as_those_of_brute_force(spark):
-    p = neardup.fingerprints(read(spark, "documents")).groupBy("f0", "f1", "f2").agg(F.min("doc_id").alias("id")).cache()
+    p = neardup.fingerprints(read(spark, "documents")).groupBy("f0", "f1", "f2", "f3").agg(F.min("doc_id").alias("id")).cache()
     want = _brute_links(p.collect())
     for split in ({}, {"hot": 3, "sampled": 1}):
         got = {(x.a, x.b) for x in neardup.links(p, **split).select("a", "b").collect()}
@@ -554,7 +554,7 @@ def test_line_pairs_by_edit_similarity_alone(spark):
 
 def test_drop_lines(spark, odd):
     long = "a line of words that goes on for quite some while and is long enough to differ a little without any harm at all in its many words"
-    ending = "unique ending line with words of its own that are many enough to be a third of all its words"
+    ending = "unique ending line with words of its own that are many enough to be more than one half of all the words of the text in which they are"
     rows = [(50, f"first here now\n{long}", "en", "s", 1), (51, f"{long}!\n{ending}", "en", "s", 1), (52, long.upper(), "en", "s", 1), (53, f"{long} at\nthe rest", "en", "s", 1), (54, "a b\na c\na B!\nx\ny", "en", "s", 1)]
     rows += [(55, "one text of this id\nshare", "en", "s", 1), (55, "share\nquite another text of this id", "en", "s", 1), (56, "share\nwords that stay here", "en", "s", 1), (56, "share\nwords that stay here", "en", "s", 1)]
     d = odd.unionByName(spark.createDataFrame(rows, DOCS), allowMissingColumns=True)
@@ -564,7 +564,7 @@ def test_drop_lines(spark, odd):
         by[x.doc_id].append(x)
     got = {k: v[0] for k, v in by.items()}
     assert got[50].text == f"first here now\n{long}" and got[51].text == ending and got[51].n_chars == len(ending)
-    # copies of which too little is left go as a whole
+    # documents that are mostly in one other go as a whole
     assert 52 not in got and 53 not in got
     # short lines are duplicates if they are equal
     assert got[54].text == "a b\na c\nx\ny"

@@ -49,27 +49,29 @@ def test_run_is_that_of_brute_force(spark, small):
     # lines: all pairs of lines; rows of an id with one text are one document
     low = lambda t: t.translate({c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7})
     texts = {r["doc_id"]: low(r["text"]) for r in kept if r["doc_id"] is not None}
-    gone = collections.defaultdict(set)
+    gone, source = collections.defaultdict(set), collections.defaultdict(collections.Counter)
+    normal = lambda t: " ".join(re.findall("[A-Za-z0-9_\x80-\U0010ffff]+", t))
     for group in _line_groups(texts):
-        for d, i in sorted(group)[1:]:
+        group = sorted(group)
+        for d, i in group[1:]:
             gone[d].add(i)
-    size = lambda t: len(re.sub("[^A-Za-z0-9_\x80-\U0010ffff]", "", t))
+            source[d][group[0][0]] += len(normal(texts[d].split("\n")[i])) + 1
     lined = []
     for r in kept:
-        if r["doc_id"] in gone:
-            text = "\n".join(x for i, x in enumerate(r["text"].split("\n")) if i not in gone[r["doc_id"]])
-            if size(text) < max(1, lines.MIN_LEFT * size(r["text"])):
+        k = r["doc_id"]
+        if k in gone:
+            text = "\n".join(x for i, x in enumerate(r["text"].split("\n")) if i not in gone[k])
+            if not normal(text) or max((n for d, n in source[k].items() if d != k), default=0) >= lines.COPIED * (len(normal(r["text"])) + 1):
                 continue
             r = r | {"text": text, "n_chars": len(text)}
         lined.append(r)
     assert 0 < len(lined) < len(kept)
     # near duplicates: all pairs of fingerprints
     d = spark.createDataFrame([(r["doc_id"], r["text"]) for r in lined], "doc_id long, text string")
-    prints = {tuple(x)[1:]: None for x in ()}
     edges, by = [], collections.defaultdict(list)
     for x in neardup.fingerprints(d).distinct().collect():
         by[tuple(x)[1:]].append(x.doc_id)
-    Print = collections.namedtuple("Print", "id f0 f1 f2")
+    Print = collections.namedtuple("Print", "id f0 f1 f2 f3")
     prints = [Print(min(v), *k) for k, v in by.items()]
     edges = [*_brute_links(prints), *((min(v), x) for v in by.values() for x in v if x != min(v))]
     root = _roots(edges)
@@ -117,12 +119,17 @@ def test_stages(spark, small):
             assert out.columns == docs.columns
 
 
-def test_near_copies_go(spark, small):
-    """Of each near-duplicate group of the documents, little more than one is left after the lines and near-duplicates stages."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    copies = {r.doc_id for r in neardup.groups(spark, docs).where("not keep").collect()}
-    left = {r.doc_id for r in cp.near_duplicate_stage(spark, cp.line_stage(spark, docs, SF), SF).collect()}
-    assert copies and len(copies & left) <= 0.15 * len(copies)
+def test_near_copies_go(spark):
+    """Of each near-duplicate group of the documents, one is left after the lines and near-duplicates stages, but for a few."""
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    group = {r.doc_id: r.group_id for r in neardup.groups(spark, docs).collect()}
+    out = cp.near_duplicate_stage(spark, cp.line_stage(spark, docs, sf), sf)
+    left = collections.Counter(group[r.doc_id] for r in out.select("doc_id").collect() if r.doc_id in group)
+    copies = len(group) - len(set(group.values()))
+    assert sum(n - 1 for n in left.values()) <= 0.05 * copies and copies > 100
+    # documents that are no copies stay, but for those whose text is all in others
+    assert out.count() >= docs.count() - copies - 0.02 * docs.count()
 
 
 def test_empty(spark, tmp_path):
