@@ -552,6 +552,16 @@ def test_line_pairs_by_edit_similarity_alone(spark):
     assert len(pairs) > 200 and np.mean(found) >= 0.97
 
 
+def test_simhash_distance_of_lines_counts_all_bits():
+    r = np.random.default_rng(3)
+    s, z = r.integers(-(2**63), 2**63, (2, 400))
+    s[1::2], z[1::2] = s[::2] ^ (1 << r.integers(0, 63, 200)), z[::2] ^ np.where(r.random(200) < 0.5, -(2**63), 0)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(400), np.arange(400)))
+    bits = [(int(a) % 2**64).bit_count() + (int(b) % 2**64).bit_count() for a, b in zip(s[i] ^ s[j], z[i] ^ z[j], strict=True)]
+    near = lines._near({"s": s, "z": z, "n": np.full(400, 9)}, i, j)
+    assert (near == (np.array(bits) <= lines.RADIUS)).all() and near[(np.minimum(i, j) % 2 == 0) & (abs(i - j) == 1)].all()
+
+
 def test_drop_lines(spark, odd):
     long = "a line of words that goes on for quite some while and is long enough to differ a little without any harm at all in its many words"
     ending = "unique ending line with words of its own that are many enough to be more than one half of all the words of the text in which they are"
