@@ -90,6 +90,10 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def in_word(data: np.ndarray) -> np.ndarray:
+    return _WORD[data]
+
+
 def prefix_hashes(values: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = powers.get(len(values) + 1)
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
@@ -153,27 +157,31 @@ def weight_of(length: np.ndarray) -> np.ndarray:
     return np.array([0.0, 0.1, 0.1, 0.15, 0.4, 0.7, 1.0])[np.minimum(length, 6)]
 
 
-_SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2.0 - 1.0).astype(np.float32)
+#: Bits of the hashes that are counted together, and the words a group from which the larger number is quicker.
+_LITTLE, _MUCH, _LONG = 4, 8, 300
+_SIGNS = {k: (((np.arange(1 << k)[:, None] >> np.arange(k)) & 1) * 2.0 - 1.0).astype(np.float32) for k in (_LITTLE, _MUCH)}
 
 
 def simhash(hashes: np.ndarray, weights: np.ndarray, group: np.ndarray, n: int, lanes: int = 1) -> np.ndarray:
     """uint64 [n, lanes]: weighted SimHash of each group's hashes.
 
-    Bytes of the hashes are counted by value, and the counts meet a 256 x 8 sign matrix; a tie gives 0.
+    Parts of the hashes, of 4 or 8 bits, are counted by value, and the counts meet a sign matrix; a tie gives 0.
     """
     out = np.zeros((n, lanes), dtype=np.uint64)
-    step = 4096  # groups at a time: 4096 x 256 counts
+    width = _MUCH if len(group) > _LONG * n else _LITTLE
+    step = 1 << 20 - width  # groups at a time: a million counts
     bounds = np.searchsorted(group, np.arange(0, n + step, step))
     for lane in range(lanes):
         h = mix(hashes, 100 + lane)
         for k, begin in enumerate(range(0, n, step)):
             m, own = min(step, n - begin), slice(bounds[k], bounds[k + 1])
-            at, g, w = h[own], (group[own] - begin) << 8, weights[own]
-            for byte in range(8):
-                value = ((at >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)
-                counts = np.bincount(g + value, weights=w, minlength=m << 8)[: m << 8].reshape(m, 256)
-                bits = (counts.astype(np.float32) @ _SIGNS) > 1e-4
-                out[begin : begin + m, lane] |= np.packbits(bits, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * byte)
+            at, g, w = h[own], (group[own] - begin) << width, weights[own]
+            bits = np.empty((m, 64), dtype=bool)
+            for low in range(0, 64, width):
+                value = ((at >> np.uint64(low)) & np.uint64((1 << width) - 1)).view(np.int64)
+                counts = np.bincount(g + value, weights=w, minlength=m << width)[: m << width].reshape(m, 1 << width)
+                bits[:, low : low + width] = (counts.astype(np.float32) @ _SIGNS[width]) > 1e-4
+            out[begin : begin + m, lane] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
