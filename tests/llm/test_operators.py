@@ -562,6 +562,21 @@ def test_simhash_distance_of_lines_counts_all_bits():
     assert (near == (np.array(bits) <= lines.RADIUS)).all() and near[(np.minimum(i, j) % 2 == 0) & (abs(i - j) == 1)].all()
 
 
+def test_word_replacement_is_never_less_than_the_edit_distance():
+    r = random.Random(9)
+    some = ["alpha", "be", "gamma", "delta9", "é", "x"]
+    sure = 0
+    for _ in range(600):
+        p = [r.choice(some) + str(r.randrange(20)) for _ in range(r.randrange(1, 25))]
+        q = [x for w in p for x in r.choice([[w]] * 6 + [[], [w, "new"], ["other"]])]
+        a, b = " ".join(p), " ".join(q)
+        most = r.randrange(0, 30)
+        if lines._surely(a, b, most):
+            sure += 1
+            assert lines.edits(a, b, 10**6) <= most
+    assert sure > 100 and not lines._surely("a " * 3000 + "b", "b " + "a " * 3000, 1)
+
+
 def test_drop_lines(spark, odd):
     long = "a line of words that goes on for quite some while and is long enough to differ a little without any harm at all in its many words"
     ending = "unique ending line with words of its own that are many enough to be more than one half of all the words of the text in which they are"
