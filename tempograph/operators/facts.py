@@ -186,6 +186,8 @@ def search_each(queries: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
     d = written(d.select("candidate", "group_id", "_seq", "n", F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("w"), F.size(F.filter("t", lambda y: y == w)).alias("tf"))).alias("p")))
     stats = d.groupBy("group_id").agg(F.count("*").alias("all"), F.avg("n").alias("avg"))
     p = d.select("candidate", "group_id", "_seq", "n", F.explode("p").alias("p")).select("candidate", "group_id", "_seq", "n", "p.w", "p.tf")
+    # rows that share uuid and order are one document
+    p = p.groupBy("candidate", "group_id", "_seq", "w").agg(F.sum("tf").alias("tf"), F.max("n").alias("n"))
     df = p.groupBy("group_id", "w").agg(F.count("*").alias("df"))
     q = queries.select("uuid", "group_id", F.explode(F.array_distinct(tokens("q"))).alias("w"))
     x = q.join(df, ["group_id", "w"]).join(stats, "group_id").select("uuid", "group_id", "w", "avg", F.log(1 + (F.col("all") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).join(p, ["group_id", "w"]).where("uuid <> candidate")
