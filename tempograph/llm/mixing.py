@@ -8,14 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempograph.llm import quality
-from tempograph.llm.common import sample_labelled, written
+from tempograph.llm.common import pairs_in_runs, sample_labelled, written
 from tempograph.llm.features import META, STATS
 from tempograph.llm.packing import token_estimate
-from tempograph.llm.textkernel import chunks
+from tempograph.llm.textkernel import CHUNK_BYTES, chunks
 from tempograph.llm.textkernel import mix as mix64
 
 #: Domain of a label row: good and clean, good but toxic, low quality.
@@ -174,6 +175,15 @@ def copies(rate: np.ndarray, ids: pa.Array) -> np.ndarray:
     return np.floor(rate + u).astype(np.int64)
 
 
+def repeated(b: pa.RecordBatch, n: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of b, row k n[k] times, in batches whose texts hold about ``most`` bytes: a rare domain's rates reach thousands, and an Arrow string column ends at 2 GB."""
+    size = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for rows, _ in pairs_in_runs(np.zeros_like(n), n, 1 << 14):
+        full = (np.cumsum(size[rows]) - size[rows]) // most
+        for part in np.split(rows, np.flatnonzero(np.diff(full)) + 1):
+            yield b.take(pa.array(part))
+
+
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_labelled: int = 6000) -> DataFrame:
     """Soft-membership mixing: (doc_id, n_tokens, p_clean, p_toxic, p_low, rate, copies) of every row of docs.
 
@@ -214,6 +224,6 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: d
             doc, feature, value, stats = quality.example(b)
             p = m.of(b.num_rows, *quality.with_stats(doc, feature, value, stats, m.mean, m.scale))
             n = copies(_rates(b.num_rows, p, history), b.column("doc_id").cast(pa.int64()))
-            yield b.select(names).take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+            yield from repeated(b.select(names), n)
 
     return docs.mapInArrow(run, docs.schema)

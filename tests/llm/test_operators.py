@@ -191,6 +191,14 @@ def test_mixing_odd_rows(spark, odd, labels):
     assert mixing.resample(spark, odd, labels).columns == odd.columns
 
 
+def test_copies_of_more_than_an_arrow_column_holds(spark, labels, monkeypatch):
+    """33,000 copies of a text of 64 KB are more than the 2 GB of one string column."""
+    monkeypatch.setattr(mixing, "fit_rates", lambda *_: np.full((1, 3), -32999.0))
+    docs = spark.createDataFrame([(1, "word " * 13107, "en", "s", 65535)], DOCS)
+    got = mixing.resample(spark, docs, labels.limit(0)).agg(F.count("*"), F.min(F.length("text")), F.max(F.length("text"))).first()
+    assert tuple(got) == (33000, 65535, 65535)
+
+
 # 5
 
 
