@@ -626,6 +626,20 @@ def test_distances_are_those_of_the_table(rows):
         assert g == want if want <= m else g > m
         assert lines.edits(a, b, 999) == want
 
+def test_pairs_out_of_reach_are_given_up(monkeypatch):
+    """Texts that lack each other's words need no runs of equal words, lower bounds hold, and distances are exact up to most also where pairs are left out on the way."""
+    monkeypatch.setattr(lines, "SequenceMatcher", None)
+    assert not lines._surely("one two three four five six seven", "one too tree for fife sex heaven", 4)
+    rng = random.Random(8)
+    a = ["".join(rng.choice("abcd é漢") for _ in range(rng.randrange(300))) for _ in range(60)]
+    b = [x if k % 3 == 0 else "".join(c for c in x if rng.random() > 0.05 * (k % 7)) + "abcd" * (k % 4) for k, x in enumerate(a)]
+    most = np.array([max(len(x), len(y)) // 5 for x, y in zip(a, b, strict=True)])
+    true = [lines.edits(x, y, 10**6) for x, y in zip(a, b, strict=True)]
+    got = lines.distances(a, b, most)
+    assert 0 < sum(d > m for d, m in zip(true, most, strict=True)) < 60
+    assert all(g == d if d <= m else g > m for g, d, m in zip(got, true, most, strict=True))
+    assert all(n <= d for n, d in zip(lines.lacking(a, b), true, strict=True)) and lines.lacking(["aab"], ["bcd"])[0] == 2
+
 
 def test_components(spark):
     r = random.Random(11)
