@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -641,6 +642,51 @@ def test_pairs_out_of_reach_are_given_up(monkeypatch):
     assert all(n <= d for n, d in zip(lines.lacking(a, b), true, strict=True)) and lines.lacking(["aab"], ["bcd"])[0] == 2
 
 
+def test_distances_are_given_up_within_the_band():
+    """Rows out of reach aren't computed; distances up to most are exact all the same."""
+    rng = random.Random(4)
+    for n in (70, 300, 900):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        for share in (0, 0.02, 0.1, 0.25, 1):
+            b = "".join(x if rng.random() >= share else rng.choice(["", "z", "ab", "c"]) for x in a) or "z"
+            true = lines.edits(a, b, 10**6)
+            assert lines.distances([a], [b], np.array([true]))[0] == true
+            for most in (true - 1, true, true + 1, true + 30, np.int64(n // 5)):
+                got = lines.edits(a, b, most)
+                assert got == true if true <= most else got > most
+
+
+def test_only_texts_of_candidate_pairs_are_read(spark, monkeypatch):
+    """Lines that share a triple but are far apart by SimHash are looked up no more."""
+    asked, own = [], lines.line_texts
+    monkeypatch.setattr(lines, "line_texts", lambda docs, wanted: (asked.extend(r.h for r in wanted.collect()), own(docs, wanted))[1])
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    far = [f"{' '.join(word() for _ in range(20))} common words here" for _ in range(40)]
+    near = " ".join(word() for _ in range(20))
+    d = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in enumerate([*far, near, f"{near} more"])], DOCS)
+    assert {(r.doc_id, r.keep) for r in lines.duplicates(spark, d).collect()} == {(40, True), (41, False)}
+    assert len(set(asked)) == 2
+
+
+def test_keys_of_several_lines_and_distinct_lines_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pairs = np.stack([rng.integers(0, 300, 900), rng.integers(-40, 40, 900)], axis=1)
+    blobs = pa.array([pairs[k : k + 100].tobytes() for k in range(0, 900, 100)], pa.binary())
+    by = collections.defaultdict(set)
+    for k, h in pairs.tolist():
+        by[k].add(h)
+    got = [x for b in lines._shared(iter([pa.record_batch([blobs[:4]], ["keys"]), pa.record_batch([blobs[4:]], ["keys"])])) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(got) == sorted((k, h) for k, v in by.items() if len(v) > 1 for h in v) and not list(lines._shared(iter([])))
+    # rows of a line are cut by batches; a hash of two lines is left out
+    rows = [(h, 5 + (h == 2 and k == 4), *map(int, rng.integers(0, 9, 2)), h, h, 7) for h in range(-5, 6) for k in range(1 + 3 * (h % 3))]
+    want = {h: ([x[2:4] for x in rows if x[0] == h]) for h in range(-5, 6) if h != 2}
+    for cut in (1, 2, 5, 100):
+        parts = [pa.record_batch([pa.array(c) for c in zip(*rows[k : k + cut], strict=True)], lines._LINE.names) for k in range(0, len(rows), cut)]
+        out = [r for b in lines._distinct(iter(parts)) for r in b.to_pylist()]
+        assert [(r["h"], (r["doc_id"], r["line"]), (r["to_doc"], r["to_line"])) for r in out] == [(h, min(v), max(v)) for h, v in want.items()]
+
+
 def test_components(spark):
     r = random.Random(11)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 1), (5, 5)]
