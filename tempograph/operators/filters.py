@@ -95,6 +95,6 @@ def filter_edges(edges: DataFrame, filters: SearchFilters | None = None, groups:
         if entities is None:
             raise ValueError("endpoint labels need the entity table")
         ok = entities.where(has_labels(filters.node_labels)).select(F.col("uuid").alias("__end"))
-        for end in ("source_node_uuid", "target_node_uuid"):
+        for end in ("target_node_uuid", "source_node_uuid"):  # facts may lie by target already
             df = df.join(ok, F.col(end) == F.col("__end"), "left_semi")
     return df

@@ -1,5 +1,6 @@
 """Hand-computed expectations of the graph operators."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -296,3 +297,50 @@ def test_bridges_over_branches_and_circles(spark):
     got = sorted((r.source_node_uuid, r.target_node_uuid) for r in writes.bridged(n, gone).collect())
     assert got == [("a", "b"), ("a", "c"), ("e", "d"), ("x", "y")]
     assert writes.bridged(n, gone.limit(0)).count() == len(links)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_facts_grouped_by_ends_need_no_further_shuffle(spark, no_broadcast):
+    f = src.facts(spark, "/root/testdata/sf0.001")
+    assert exchanges(f) == 6  # lines twice, orders twice, customers, parts
+    assert exchanges(f.groupBy("source_node_uuid", "target_node_uuid").count()) == 6
+    assert exchanges(fx.dedupe_batch(f)) == 6
+
+
+def test_validity_among_facts_is_that_of_pairs(spark, no_broadcast):
+    rng, now = random.Random(5), datetime(2025, 1, 1)
+    day = lambda: datetime(2024, 1, rng.randint(1, 9)) if rng.random() < 0.9 else None
+    rows = [(str(i), "a", str(rng.randint(0, 9)), day(), day(), day() if rng.random() < 0.2 else None) for i in range(80)]
+    f = spark.createDataFrame(rows, "uuid string, source_node_uuid string, target_node_uuid string, valid_at timestamp_ntz, invalid_at timestamp_ntz, expired_at timestamp_ntz")
+    key = ["source_node_uuid", "target_node_uuid"]
+    peers = f.select("uuid", *key).join(f.select(*key, "valid_at", "invalid_at"), key)
+    pairs = peers.select(F.col("uuid").alias("candidate"), F.col("valid_at").alias("new_valid_at"), F.col("invalid_at").alias("new_invalid_at"))
+    for got, want in ((fx.invalidate_among(f, key, now), fx.invalidate(f, pairs, now)), (fx.expire_among(f, key, now), fx.expire_new(f, peers.select("uuid", "valid_at"), now))):
+        assert exchanges(got) == 1
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_first_duplicates_and_overrides_make_no_pairs(spark, no_broadcast):
+    rng = random.Random(6)
+    rows = [(str(rng.randint(0, 25)), "a", "b", rng.choice("xyz") + " ", rng.randint(0, 40)) for _ in range(60)]
+    f = spark.createDataFrame(rows, "uuid string, source_node_uuid string, target_node_uuid string, fact string, _seq long").dropDuplicates(["_seq"])
+    want = {}
+    for a in f.collect():
+        hits = [(b["_seq"], b["uuid"]) for b in f.collect() if b["fact"] == a["fact"] and b["uuid"] != a["uuid"]]
+        want[a["uuid"]] = min([*hits, *([want[a["uuid"]]] if a["uuid"] in want else [])])
+    got = fx.exact_duplicates(f, f)
+    assert {r["uuid"]: r["duplicate_of"] for r in got.collect()} == {u: d for u, (_, d) in want.items()}
+    base = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c")], "uuid string, fact string")
+    new = fx.merge_overrides(base, spark.createDataFrame([("1", None), ("3", "d")], "uuid string, fact string"))
+    assert exchanges(new) == 2
+    assert sorted(map(tuple, new.collect()), key=str) == sorted([("1", None), ("1", None), ("2", "c"), ("3", "d")], key=str)
