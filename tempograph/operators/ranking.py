@@ -127,18 +127,24 @@ def merge_first_seen(lists: list[DataFrame], by_score: bool = False) -> DataFram
     return with_pos(m, *([F.desc("score")] if by_score else []), F.asc("seen"))
 
 
-def mmr(candidates: DataFrame, vectors: DataFrame, vector: str, query: list[float], k: int, weight: float = 0.5, min_score: float = 0.0) -> DataFrame:
+def mmr(candidates: DataFrame, vectors: DataFrame, vector: str, query: list[float], k: int, weight: float = 0.5, min_score: float = 0.0, digits: int | None = None) -> DataFrame:
     """Maximal marginal relevance in one pass: weight * q.x + (weight - 1) * max(0, best other x.y) of scaled candidates.
 
     Candidates are the few of a search (at most six limits), so their self-join is small.  A candidate
-    without vector has all its products 0.
+    without vector has all its products 0.  With ``digits``, scores that are equal when rounded to them are ties, which go by the
+    candidates' order: near copies of the query have scores of 0 but for the last digits of their sums.
     """
     c = candidates.select("uuid", "pos").join(vectors.select("uuid", F.col(vector).alias("v")), "uuid", "left").withColumn("v", l2_normalize("v"))
     other = c.select(F.col("uuid").alias("o"), F.col("v").alias("w"))
     sims = c.join(other, F.col("uuid") != F.col("o")).groupBy("uuid").agg(F.max(F.coalesce(dot("v", "w"), F.lit(0.0))).alias("m"))
     j = c.join(sims, "uuid", "left")
     s = weight * F.coalesce(dot("v", literal(query)), F.lit(0.0)) + (weight - 1) * F.greatest(F.coalesce("m", F.lit(0.0)), F.lit(0.0))
-    return ranked(j.select("uuid", "pos", s.cast("float").alias("score")), k, min_score, seq="pos")
+    j = j.select("uuid", "pos", s.cast("float").alias("score"))
+    if digits is None:
+        return ranked(j, k, min_score, seq="pos")
+    order = [F.desc(F.round(F.col("score").cast("double"), digits) + 0.0), F.asc("pos")]
+    top = j.where(F.col("score") >= min_score).orderBy(*order).limit(max(0, k))
+    return top.select("uuid", "score", (F.row_number().over(W.orderBy(*order)) - 1).cast("int").alias("pos"))
 
 
 Scorer = Callable[[str, list[str]], list[float]]

@@ -23,6 +23,8 @@ class Scope:
     reranker: Reranker = Reranker.RRF
     sim_min_score: float = 0.6
     mmr_lambda: float = 0.5
+    #: Decimals to which scores of MMR are compared; None: all.
+    mmr_digits: int | None = None
     bfs_max_depth: int = 3
 
 
@@ -113,7 +115,7 @@ def search_facts(t: Tables, query: str, scope: Scope, limit: int = 10, vector: l
     if not lists or limit <= 0:
         return _empty(df)
     if scope.reranker is Reranker.MMR:
-        return rk.mmr(rk.merge_first_seen(lists), df, "fact_embedding", vector, limit, scope.mmr_lambda, min_score)
+        return rk.mmr(rk.merge_first_seen(lists), df, "fact_embedding", vector, limit, scope.mmr_lambda, min_score, scope.mmr_digits)
     if scope.reranker is Reranker.CROSS_ENCODER:
         return rk.cross_encode(_bounded(rk.rrf(lists, 2 * limit)), df, "fact", query, limit, min_score)
     if scope.reranker is Reranker.NODE_DISTANCE:
@@ -131,7 +133,7 @@ def search_nodes(t: Tables, query: str, scope: Scope, limit: int = 10, vector: l
     if not lists or limit <= 0:
         return _empty(df)
     if scope.reranker is Reranker.MMR:
-        return rk.mmr(rk.merge_first_seen(lists), df, "name_embedding", vector, limit, scope.mmr_lambda, min_score)
+        return rk.mmr(rk.merge_first_seen(lists), df, "name_embedding", vector, limit, scope.mmr_lambda, min_score, scope.mmr_digits)
     if scope.reranker is Reranker.CROSS_ENCODER:
         return rk.cross_encode(rk.merge_first_seen(lists), df, "name", query, limit, min_score)
     if scope.reranker is Reranker.NODE_DISTANCE:
@@ -161,7 +163,7 @@ def search_communities(t: Tables, query: str, scope: Scope, limit: int = 10, vec
     hits = _vector_hits(df, "community", vector, 2 * limit, scope)
     lists += [hits] if hits is not None else []
     if scope.reranker is Reranker.MMR:
-        return rk.mmr(rk.merge_first_seen(lists), df, "name_embedding", vector, limit, scope.mmr_lambda, min_score)
+        return rk.mmr(rk.merge_first_seen(lists), df, "name_embedding", vector, limit, scope.mmr_lambda, min_score, scope.mmr_digits)
     if scope.reranker is Reranker.CROSS_ENCODER:
         return rk.cross_encode(rk.merge_first_seen(lists), df, "name", query, limit, min_score)
     return rk.rrf(lists, limit, min_score)
