@@ -344,3 +344,47 @@ def test_first_duplicates_and_overrides_make_no_pairs(spark, no_broadcast):
     new = fx.merge_overrides(base, spark.createDataFrame([("1", None), ("3", "d")], "uuid string, fact string"))
     assert exchanges(new) == 2
     assert sorted(map(tuple, new.collect()), key=str) == sorted([("1", None), ("1", None), ("2", "c"), ("3", "d")], key=str)
+
+
+def test_mmr_by_rounded_scores_takes_ties_in_order(spark):
+    v = spark.createDataFrame([("a", [1.0, 1e-4]), ("b", [1.0, 0.0]), ("c", [1.0, 2e-4]), ("d", [0.0, 1.0])], "uuid string, v array<float>")
+    got = rk.mmr(ranked(spark, "acbd"), v, "v", [1.0, 0.0], 3, 0.5, -2.0, digits=3)
+    assert [u for u, _ in pairs(got)] == ["a", "c", "b"]
+
+
+def test_candidates_are_those_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(resolve, "CELL", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)).astype(np.float32)
+    x[40:50] = x[:10]  # copies: equal scores go by _seq
+    x[50] = 0
+    rows = [(f"e{i:03d}", None, "g" if i % 4 else f"h{i % 3}", [], T0, x[i].tolist() if i != 51 else None, "", "{}", i) for i in range(60)]
+    v = spark.createDataFrame(rows, sc.SCHEMAS["entity"])
+    j = v.alias("a").join(v.alias("b"), F.expr("a.group_id = b.group_id and a.name_embedding is not null and b.name_embedding is not null"))
+    s = j.select("a.uuid", F.col("b.uuid").alias("c"), vx.cosine("a.name_embedding", "b.name_embedding").alias("s")).where("s > 0.6").collect()
+    want = set()
+    for u in {r["uuid"] for r in s}:
+        own = sorted((-np.float32(r["s"]), r["c"]) for r in s if r["uuid"] == u)[:3]
+        want |= {(u, c, k, float(-z)) for k, (z, c) in enumerate(own, 1)}
+    got = resolve.candidates(v, v, limit=3)
+    assert {(r["uuid"], r["candidate"], r["rank"], r["score"]) for r in got.collect()} == want
+
+
+def test_similar_sets_of_frequent_members_make_few_pairs(spark):
+    rows = [(f"Customer#{i:09d} nation {i % 25}", "g") for i in range(3000)]
+    x = spark.createDataFrame(rows, "id string, g string").withColumn("t", tx.shingles(tx.fuzzy_form("id")))
+    sets = {r["id"]: set(r["t"]) for r in x.collect()}
+    ids = sorted(sets)
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    plan_of = resolve.similar_sets(x, 0.8)
+    assert {(r["a"], r["b"]) for r in plan_of.collect()} == want and want
+    assert resolve._levels(22, 0.8)[5] == 9 and resolve._levels(15, 0.9)[12] == 13
+
+
+def test_exact_resolution_reads_no_shingles(spark):
+    e = entity(spark, [("1", "Alpha Beta", "g", [], None), ("2", "Gamma Delta", "g", [], None)])
+    got = resolve.resolve(e.withColumn("uuid", F.concat(F.lit("x"), "uuid")), e)
+    assert "_bands" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [("x1", "1", "exact"), ("x2", "2", "exact")]
