@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tempograph.sources.tables import written
+
+
+#: Groups that may be broadcast, a few numbers each: where groups are few, one may have most nodes.
+FEW_GROUPS = 500_000
+
 
 def propagate(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
     """Synchronous label propagation over nodes in order; labels start as places.
@@ -45,41 +50,51 @@ def propagate(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
 
 
 def label_propagation(entities: DataFrame, facts: DataFrame) -> DataFrame:
-    """(group_id, uuid, label, n_members): clusters never cross groups; nodes in order of uuid descending."""
-    ends = facts.select("source_node_uuid", "target_node_uuid")
-    e = entities.select("uuid", "group_id").dropDuplicates(["uuid"])
-    s = ends.join(e.select(F.col("uuid").alias("source_node_uuid"), F.col("group_id").alias("g")), "source_node_uuid").join(e.select(F.col("uuid").alias("target_node_uuid"), F.col("group_id").alias("h")), "target_node_uuid").where("g = h")
-    weighed = s.groupBy(F.col("g").alias("group_id"), "source_node_uuid", "target_node_uuid").agg(F.count("*").alias("n"))
-    rows = e.select("group_id", F.col("uuid").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).cast("long").alias("n")).unionByName(weighed.select("group_id", F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b"), "n"))
+    """(group_id, uuid, label, n_members): clusters never cross groups; nodes in order of uuid descending.  As propagate() of each group, by rounds of joins."""
+    got = propagate_rounds(entities, facts)
+    n = got.groupBy(F.col("group_id").alias("g"), F.col("label").alias("l")).agg(F.count("*").alias("n_members"))
+    return got.join(n, F.col("group_id").eqNullSafe(F.col("g")) & (F.col("label") == F.col("l"))).select("group_id", "uuid", "label", "n_members")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(pdf.loc[pdf["b"].isna(), "a"], reverse=True)
-        links = pdf.loc[pdf["b"].notna()]
-        edges = [(a, b) for a, b, n in zip(links["a"], links["b"], links["n"], strict=True) for _ in range(n)]
-        label = propagate(nodes, edges)
-        return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "uuid": list(label), "label": list(label.values())})
 
-    got = rows.groupBy("group_id").applyInPandas(run, "group_id string, uuid string, label long")
-    return got.withColumn("n_members", F.count("*").over(W.partitionBy("group_id", "label")))
+def propagate_rounds(entities: DataFrame, facts: DataFrame, rounds: int | None = None, written=written) -> DataFrame:  # noqa: ANN001
+    """(uuid, group_id, label) of propagate() for all groups at once, or of at most ``rounds`` of its rounds: two shuffles of the weighed links a round, as numbers.
 
-
-def propagate_rounds(entities: DataFrame, facts: DataFrame, rounds: int, written) -> DataFrame:  # noqa: ANN001
-    """label_propagation for groups beyond one task's memory: a join and an aggregate a round, at most ``rounds`` of them."""
+    A round gives each node its new label beside its last two.  It is over when every group has nothing changed, or the state
+    of two rounds before: which of both is left then, the number of the group's rounds decides.
+    """
     e = entities.select("uuid", "group_id").dropDuplicates(["uuid"])
-    label = written(e.withColumn("label", (F.row_number().over(W.partitionBy("group_id").orderBy(F.desc("uuid"))) - 1).cast("long")))
-    f = facts.select(F.col("source_node_uuid").alias("a"), F.col("target_node_uuid").alias("b"))
-    both = f.unionByName(f.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
-    g = e.select(F.col("uuid").alias("a"), "group_id").join(both, "a").join(e.select(F.col("uuid").alias("b"), F.col("group_id").alias("h")), "b").where("group_id = h").select("a", "b", "n")
-    g = written(g)
-    for _ in range(rounds):
-        w = g.join(label.select(F.col("uuid").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("n").alias("n"))
-        best = w.groupBy("a").agg(F.max(F.struct("n", "label")).alias("m")).select(F.col("a").alias("uuid"), F.col("m.n").alias("n"), F.col("m.label").alias("best"))
-        new = label.join(best, "uuid", "left").select("uuid", "group_id", F.when(F.col("n") > 1, F.col("best")).otherwise(F.greatest("label", F.coalesce("best", "label"))).alias("label"), F.col("label").alias("old"))
-        new = written(new)
-        if not new.where("label <> old").head(1):
-            return new.drop("old")
-        label = new.drop("old")
-    return label
+    # places over all groups, of range partitions that begin after each other; the driver holds a number for each
+    at = written(e.orderBy("group_id", F.desc("uuid")).select("uuid", "group_id", F.monotonically_increasing_id().alias("at")))
+    total, before = 0, []
+    for r in at.groupBy(F.shiftright("at", 33).alias("p")).count().orderBy("p").collect():
+        before.append((r["p"], total))
+        total += r["count"]
+    starts = F.broadcast(at.sparkSession.createDataFrame(before, "p long, before long"))
+    node = at.join(starts, F.shiftright("at", 33) == F.col("p")).select("uuid", "group_id", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("k"))
+    group = written(node.groupBy(F.col("group_id").alias("g")).agg(F.min("k").alias("first"), F.count("*").alias("size")))
+    group = F.broadcast(group) if group.count() <= FEW_GROUPS else group
+    node = written(node.join(group, F.col("group_id").eqNullSafe(F.col("g"))).select("uuid", "group_id", "k", "first", "size"))
+    own = lambda end, k: node.where("group_id is not null").select(F.col("uuid").alias(end), F.col("k").alias(k), F.col("first").alias(f"{k}_g"))
+    f = facts.select("source_node_uuid", "target_node_uuid").join(own("target_node_uuid", "b"), "target_node_uuid").join(own("source_node_uuid", "a"), "source_node_uuid").where("a_g = b_g")
+    both = f.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
+    g = written(both.groupBy("x.a", "x.b").agg(F.count("*").alias("n")))
+    label = node.select("k", "first", F.col("k").alias("label"), F.lit(None).cast("long").alias("old"))
+    most, done = max(100, (node.agg(F.max("size")).first()[0] or 0) ** 2) if rounds is None else rounds, 0
+    while done < most:
+        w = g.join(label.select(F.col("k").alias("b"), "label"), "b").select("a", "label", "n")
+        best = w.groupBy("a", "label").agg(F.sum("n").alias("n")).groupBy("a").agg(F.max(F.struct("n", "label")).alias("m")).select(F.col("a").alias("k"), F.col("m.n").alias("n"), F.col("m.label").alias("best"))
+        best = label.join(best, "k", "left")
+        new = F.when(F.col("n") > 1, F.col("best")).otherwise(F.greatest("label", F.coalesce("best", "label")))
+        state = written(best.select("k", "first", new.alias("label"), F.col("label").alias("old"), F.col("old").alias("older")))
+        done += 1
+        open_ = state.groupBy("first").agg(F.max((F.col("label") != F.col("old")).cast("int")).alias("moved"), F.max((~F.col("label").eqNullSafe(F.col("older"))).cast("int")).alias("other"))
+        label = state.drop("older")
+        if not open_.where("moved = 1 and other = 1").head(1):
+            break
+    last = F.greatest(F.lit(100).cast("decimal(38,0)"), F.col("size").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")) if rounds is None else F.lit(done)
+    # what turns between two states ends in the last if as many rounds as are left bring it back
+    out = node.drop("first").join(label.select("k", "first", "label", "old"), "k")
+    return out.select("uuid", "group_id", (F.when((last - done) % 2 == 0, F.col("label")).otherwise(F.coalesce("old", "label")) - F.col("first")).cast("long").alias("label"))
 
 
 def summarize_tree(summaries: list[str], combine) -> str:  # noqa: ANN001

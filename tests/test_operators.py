@@ -388,3 +388,21 @@ def test_exact_resolution_reads_no_shingles(spark):
     got = resolve.resolve(e.withColumn("uuid", F.concat(F.lit("x"), "uuid")), e)
     assert "_bands" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [("x1", "1", "exact"), ("x2", "2", "exact")]
+
+
+def test_label_propagation_by_rounds_is_that_of_one_task(spark):
+    rng = random.Random(8)
+    groups = {"a": 30, "b": 12, "c": 2, None: 3}
+    rows, edges, want = [], [], {}
+    for g, n in groups.items():
+        own = [f"{g}{i:02d}" for i in range(n)]
+        rows += [(u, u, g, [], None) for u in own]
+        links = [(rng.choice(own), rng.choice(own)) for _ in range(2 * n)] if g != "c" else [("c00", "c01")] * 2  # c: two labels in turn
+        edges += links
+        want |= {u: (g, k) for u, k in cm.propagate(sorted(own, reverse=True), links if g else []).items()}
+    f = fact(spark, [(str(i), "x", s, t, "", None, None) for i, (s, t) in enumerate([*edges, ("a00", "b00")])])
+    out = cm.label_propagation(entity(spark, rows), f)
+    assert "applyInPandas" not in out._jdf.queryExecution().logical().toString() and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().logical().toString()
+    got = out.collect()
+    assert {r["uuid"]: (r["group_id"], r["label"]) for r in got} == want
+    assert all(r["n_members"] == sum(v == want[r["uuid"]] for v in want.values()) for r in got)
