@@ -406,3 +406,36 @@ def test_label_propagation_by_rounds_is_that_of_one_task(spark):
     got = out.collect()
     assert {r["uuid"]: (r["group_id"], r["label"]) for r in got} == want
     assert all(r["n_members"] == sum(v == want[r["uuid"]] for v in want.values()) for r in got)
+
+
+@pytest.mark.parametrize(("n", "k"), [(101, 2), (250, 3), (333, 3), (240, 5), (700, 40), (150, 149)])
+def test_parts_cover_every_pair_and_number_their_lists(n, k):
+    lists, numbers = [], []
+    for part in ch.cover_parts(n, k):
+        for number, offsets, at in ch._lists(part, k):
+            lists += [at[i:j].tolist() for i, j in zip(offsets, offsets[1:])]
+            numbers += range(number, number + len(offsets) - 1)
+    assert sorted(numbers) == list(range(len(lists)))
+    assert all(1 < len(x) <= k and x == sorted(set(x)) for x in lists)
+    assert {(a, b) for x in lists for i, a in enumerate(x) for b in x[i + 1 :]} == {(a, b) for a in range(n) for b in range(a + 1, n)}
+    assert len(lists) <= (1.6 if k < 9 else 3) * n * (n - 1) / (k * (k - 1)) + 2 * n / k
+
+
+def test_covers_of_a_large_group_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(ch, "PART_LISTS", 2000)
+    rows = spark.createDataFrame([("a", f"{i:03d}") for i in range(150)] + [("b", "x"), ("b", "y")], "g string, i string")
+    got = ch.cover_table(rows, "g", "i", 3)
+    assert got.select(F.spark_partition_id()).distinct().count() > 2
+    own = [r for r in got.collect() if r["g"] == "a"]
+    assert {(x, y) for r in own for x in r["items"] for y in r["items"] if x < y} == {(f"{i:03d}", f"{j:03d}") for i in range(150) for j in range(i + 1, 150)}
+    assert sorted(r["cover_no"] for r in own) == list(range(len(own)))
+    assert [tuple(r) for r in got.where("g = 'b'").collect()] == [("b", 0, ["x", "y"])]
+
+
+def test_chunks_are_given_a_slice_at_a_time():
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"content": ["x" * 700_000, None, "y" * 700_000, "", "z" * 3_000_000, "w"]})
+    got = [s.column("content").to_pylist() for s in ch._slices(b, "content")]
+    assert [x for s in got for x in s] == b.column("content").to_pylist()
+    assert len(got) > 2 and all(len(s) == 1 or sum(len(x or "") for x in s) <= 2 * ch.TEXT_BYTES + 3_000_000 for s in got)
