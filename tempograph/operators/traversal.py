@@ -7,13 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempograph.operators.filters import SearchFilters, filter_edges, filter_nodes
+from tempograph.sources.tables import written
 
 
 def walk(origins: DataFrame, nodes: DataFrame, mentions: DataFrame, facts: DataFrame, depth: int) -> DataFrame:
     """Steps (ord, depth, kind, edge, target, origin_group) of outgoing walks from origins (uuid, pos).
 
     Mentions come before facts, edges by uuid.  A node is expanded once for each origin group, at its
-    first visit, but steps to visited nodes are still listed.  ``ord`` sorts as the steps come: an array
+    first visit, but steps to visited nodes are still listed.  What a step reaches is written, and the walk ends where that is nothing new.  ``ord`` sorts as the steps come: an array
     of (kind, edge) along the path, after the origin's place.  Unknown origins give nothing.
     """
     own = nodes.select("uuid", "group_id").distinct()
@@ -29,7 +30,9 @@ def walk(origins: DataFrame, nodes: DataFrame, mentions: DataFrame, facts: DataF
         )
         out = step if out is None else out.unionByName(step)
         if d < depth:
-            new = step.groupBy(F.col("target").alias("uuid"), "origin_group").agg(F.min("ord").alias("ord")).join(seen, ["uuid", "origin_group"], "left_anti")
+            new = written(step.groupBy(F.col("target").alias("uuid"), "origin_group").agg(F.min("ord").alias("ord")).join(seen, ["uuid", "origin_group"], "left_anti"))
+            if not new.head(1):
+                break
             seen = seen.unionByName(new.select("uuid", "origin_group"))
             front = new
     return out
@@ -61,8 +64,10 @@ def fact_hits(origins: DataFrame, entities: DataFrame, episodes: DataFrame, ment
     steps = walk(origins, nodes, mentions, facts, depth) if depth >= 1 else None
     if steps is None:
         return facts.select("uuid", F.lit(0.0).cast("float").alias("score"), F.lit(0).alias("pos")).limit(0)
-    ok = filter_edges(facts, filters, groups, entities).select(F.col("uuid").alias("edge"))
-    return _first(steps.where("kind = 1").join(ok, "edge", "left_semi"), "edge", limit)
+    steps = steps.where("kind = 1")
+    if filters is not None or groups:
+        steps = steps.join(filter_edges(facts, filters, groups, entities).select(F.col("uuid").alias("edge")), "edge", "left_semi")
+    return _first(steps, "edge", limit)
 
 
 def default_origins(text: DataFrame, vector: DataFrame, facts: DataFrame | None = None) -> DataFrame:
