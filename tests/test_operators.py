@@ -439,3 +439,41 @@ def test_chunks_are_given_a_slice_at_a_time():
     got = [s.column("content").to_pylist() for s in ch._slices(b, "content")]
     assert [x for s in got for x in s] == b.column("content").to_pylist()
     assert len(got) > 2 and all(len(s) == 1 or sum(len(x or "") for x in s) <= 2 * ch.TEXT_BYTES + 3_000_000 for s in got)
+
+
+def test_searches_by_classes_are_those_of_scores(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(fx, "RARE", 4)
+    monkeypatch.setattr(fx, "CELL", (3, 5))
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcde") if rng.random() < 0.7 else f"n{rng.randint(0, 60)}"
+    docs = [(f"u{i:03d}", rng.choice("gh"), " ".join(word() for _ in range(rng.randint(1, 6))), i // 2) for i in range(200)]
+    rows = spark.createDataFrame(docs, "candidate string, group_id string, t string, _seq long")
+    asked = docs[::7]
+    queries = spark.createDataFrame([(u, g, t) for u, g, t, _ in asked], "uuid string, group_id string, q string")
+    want = set()
+    for u, g, q, _ in asked:
+        own = [(c, t.split(), k) for c, h, t, k in docs if h == g]
+        avg = sum(len(t) for _, t, _ in own) / len(own)
+        got = []
+        for c, t, k in own:
+            s = 0.0
+            for w in set(q.split()):
+                df = sum(w in x for _, x, _ in own)
+                s += math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avg))
+            if s > 0 and c != u:
+                got.append((-round(s, 6), k, c))
+        want |= {(u, c, i) for i, (_, _, c) in enumerate(sorted(got)[:5])}
+    assert {(r["uuid"], r["candidate"], r["pos"]) for r in fx.search_each(queries, rows, 5).collect()} == want
+
+
+def test_a_walk_ends_where_it_reaches_nothing_new(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(traversal, "written", lambda df: made.append(1) or src.written(df))
+    n = entity(spark, [(x, x, "g", [], None) for x in "abc"])
+    f = fact(spark, [("1", "g", "a", "b", "", None, None), ("2", "g", "a", "c", "", None, None)])
+    m = spark.createDataFrame([], sc.SCHEMAS["mentions"])
+    steps = traversal.walk(spark.createDataFrame([("a", 0)], "uuid string, pos int"), n.select("uuid", "group_id"), m, f, 9)
+    assert sorted((r["edge"], r["depth"]) for r in steps.collect()) == [("1", 1), ("2", 1)]
+    assert len(made) == 2  # b and c; then nothing
