@@ -14,7 +14,7 @@ def walk(origins: DataFrame, nodes: DataFrame, mentions: DataFrame, facts: DataF
     """Steps (ord, depth, kind, edge, target, origin_group) of outgoing walks from origins (uuid, pos).
 
     Mentions come before facts, edges by uuid.  A node is expanded once for each origin group, at its
-    first visit, but steps to visited nodes are still listed.  What a step reaches is written, and the walk ends where that is nothing new.  ``ord`` sorts as the steps come: an array
+    first visit, but steps to visited nodes are still listed.  Steps but the last are written, and the walk ends where one reaches nothing new.  ``ord`` sorts as the steps come: an array
     of (kind, edge) along the path, after the origin's place.  Unknown origins give nothing.
     """
     own = nodes.select("uuid", "group_id").distinct()
@@ -28,9 +28,10 @@ def walk(origins: DataFrame, nodes: DataFrame, mentions: DataFrame, facts: DataF
         step = front.join(edges.withColumnsRenamed({"uuid": "edge"}), front["uuid"] == F.col("source_node_uuid")).select(
             F.concat("ord", F.array(F.struct(F.col("kind").cast("long").alias("a"), F.col("edge").alias("b")))).cast(path).alias("ord"), F.lit(d).alias("depth"), "kind", "edge", F.col("target_node_uuid").alias("target"), "origin_group"
         )
+        step = written(step) if d < depth else step
         out = step if out is None else out.unionByName(step)
         if d < depth:
-            new = written(step.groupBy(F.col("target").alias("uuid"), "origin_group").agg(F.min("ord").alias("ord")).join(seen, ["uuid", "origin_group"], "left_anti"))
+            new = step.groupBy(F.col("target").alias("uuid"), "origin_group").agg(F.min("ord").alias("ord")).join(seen, ["uuid", "origin_group"], "left_anti")
             if not new.head(1):
                 break
             seen = seen.unionByName(new.select("uuid", "origin_group"))
